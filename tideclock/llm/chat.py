@@ -83,7 +83,7 @@ def best_leaves(messages: DataFrame, branches: int) -> tuple[DataFrame, list[Dat
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     known = nodes.select("tree", F.col("node").alias("parent"))
     up = nodes.select("tree", "node", "score", F.col("parent").alias("up"))
-    up = up.join(known.withColumnRenamed("parent", "up").withColumn("there", F.lit(True)), ["tree", "up"], "left")
+    up = up.join(known.withColumnRenamed("parent", "up").withColumn("there", F.lit(True)).hint("merge"), ["tree", "up"], "left")
     up = up.select("tree", "node", F.when(F.col("there"), F.col("up")).alias("up"), "score")
     jumps, limit = [], 0
     up = scratch.materialize(up, "jump")
@@ -93,7 +93,7 @@ def best_leaves(messages: DataFrame, branches: int) -> tuple[DataFrame, list[Dat
         if jumps[-1].isEmpty() or 1 << limit > total:
             break
         above = up.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
-        up = up.join(above, ["tree", "up"], "left").select(
+        up = up.join(above.hint("merge"), ["tree", "up"], "left").select(
             "tree",
             "node",
             F.col("next").alias("up"),
@@ -102,7 +102,7 @@ def best_leaves(messages: DataFrame, branches: int) -> tuple[DataFrame, list[Dat
         up = scratch.materialize(up, "jump")
         limit += 1
     inner = nodes.filter(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node")).distinct()
-    leaves = up.filter(F.col("up").isNull()).join(inner, ["tree", "node"], "left_anti")
+    leaves = up.filter(F.col("up").isNull()).join(inner.hint("merge"), ["tree", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.col("score").desc(), "node"))
     return leaves.withColumn("branch", rank).filter(F.col("branch") <= branches), jumps[:-1] if len(jumps) > 1 else jumps
 
@@ -112,7 +112,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves, jumps = best_leaves(messages, branches)
     on = leaves.select("tree", "branch", F.lit(0).alias("steps"), "node")
     for i in reversed(range(len(jumps))):
-        further = on.join(jumps[i], ["tree", "node"]).select("tree", "branch", (F.col("steps") + (1 << i)).alias("steps"), F.col("up").alias("node"))
+        further = on.join(jumps[i].hint("merge"), ["tree", "node"]).select("tree", "branch", (F.col("steps") + (1 << i)).alias("steps"), F.col("up").alias("node"))
         on = on.unionByName(further)
     return on
 
@@ -135,7 +135,7 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """
     scratch.small_batches(messages.sparkSession)
     said = messages.select("tree", "node", "role", "text")
-    on = paths(messages, branches).join(said, ["tree", "node"])
+    on = paths(messages, branches).join(said.hint("merge"), ["tree", "node"])
     gathered = on.groupBy("tree", "branch").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("at"), F.struct("role", "text").alias("turn")))).alias("turns"))
     made = gathered.select("tree", "branch", F.pandas_udf(_format, FORMATTED)(F.transform("turns", lambda t: t["turn"]).cast(_TURNS)).alias("f"))
     return made.select("tree", "branch", "f.formatted", "f.loss")
