@@ -8,13 +8,24 @@ new words to the tokenizer.
 
 from __future__ import annotations
 
+from itertools import chain
+import json
 import os
+import re
 
 import numpy as np
 
 END_ID = 1
-#: Words that a worker remembers before it starts afresh.
-MEMORY_WORDS = 400_000
+#: Words, and pieces of words, that a worker remembers before it starts afresh.
+MEMORY_WORDS = 700_000
+
+# Fixed values of the public vocabulary: how its file normalizes and splits texts.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# The same rule for words of printable ASCII and Latin-1 letters, which NFC leaves alone.
+_SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 
 
 def default_tokenizer() -> str:
@@ -35,8 +46,23 @@ class _Words(dict):
         return n
 
 
+def _byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+_LETTERS = _byte_letters()
+
+
 class Encoder:
-    """Encodes lists of texts with one tokenizer file."""
+    """Encodes lists of texts with one tokenizer file.
+
+    Words of common characters are split here, by the file's own rule, and
+    their pieces go to the file's model; all other words, and all texts of
+    files with other rules, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,10 +70,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        rules = json.loads(self.tokenizer.to_str())
+        normalizers = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        splits = [x.get("pattern", {}).get("Regex") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_word = normalizers == NORMALIZERS and splits[:1] == [SPLIT]
+        self.model = self.tokenizer.model
         self._forget()
 
     def _forget(self) -> None:
         self.words = _Words()
+        self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 16, dtype=np.int64)
@@ -58,7 +90,22 @@ class Encoder:
         if not new:
             return
         self.words.new = []
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        got: list = [None] * len(new)
+        rare, pieces = [], self.pieces
+        for i, word in enumerate(new):
+            if not _SIMPLE(word):
+                rare.append(i)
+                continue
+            ids = []
+            for piece in _SPLIT(word.lower()):
+                known_ids = pieces.get(piece)
+                if known_ids is None:
+                    letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+                    known_ids = pieces[piece] = [t.id for t in self.model.tokenize(letters)]
+                ids += known_ids
+            got[i] = ids
+        for i, x in zip(rare, self.tokenizer.encode_batch_fast([new[i] for i in rare], add_special_tokens=False), strict=True):
+            got[i] = x.ids
         lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         total = int(lengths.sum())
         while self.used + total > len(self.ids):
@@ -75,16 +122,20 @@ class Encoder:
         """The ids of all texts one after the other, and how many each text has."""
         if not texts:
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        if not self.by_word:
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array([len(ids) for ids in got], dtype=np.int64)
         if len(self.words) > MEMORY_WORDS:
             self._forget()
         split = [x.replace("\n", " ").split(" ") for x in texts]
         look = self.words.__getitem__
-        numbers = np.array([look(w) for words in split for w in words], dtype=np.int64)
+        counts = [len(words) for words in split]
+        numbers = np.fromiter(map(look, chain.from_iterable(split)), dtype=np.int64, count=sum(counts))
         self._learn()
         lengths = self.lengths[numbers]
         ends = np.cumsum(lengths)
         where = np.repeat(self.starts[numbers] - (ends - lengths), lengths) + np.arange(int(ends[-1]))
-        bounds = np.cumsum([len(words) for words in split])
+        bounds = np.cumsum(counts)
         return self.ids[where], np.diff(np.concatenate([[0], ends[bounds - 1]]))
 
 
