@@ -34,6 +34,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _lower(text: str) -> str:
+    """The text in lower case if it is Latin-1, whose letters fold one by one as the tokenizer's do."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class _Words(dict):
     """word -> number; unknown words get the next number and wait in ``new``."""
 
@@ -127,7 +136,7 @@ class Encoder:
             return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array([len(ids) for ids in got], dtype=np.int64)
         if len(self.words) > MEMORY_WORDS:
             self._forget()
-        split = [x.replace("\n", " ").split(" ") for x in texts]
+        split = [_lower(x).replace("\n", " ").split(" ") for x in texts]
         look = self.words.__getitem__
         counts = [len(words) for words in split]
         numbers = np.fromiter(map(look, chain.from_iterable(split)), dtype=np.int64, count=sum(counts))

@@ -51,7 +51,7 @@ def build(ids: np.ndarray, lengths: list[int], keys: list) -> bytes:
         counts.append(before.tobytes())
         zeros.append(n - int(before[-1]))
         if level + 1 < levels:
-            now = np.concatenate([now[~ones], now[ones]])
+            now = np.concatenate([np.compress(~ones, now), np.compress(ones, now)])
     names = json.dumps(keys).encode()
     parts = [alphabet.astype("<u4").tobytes(), np.array(lengths, dtype="<u8").tobytes(), names, b"".join(planes), b"".join(counts)]
     header = json.dumps({"n": n, "levels": levels, "zeros": zeros, "sizes": [len(p) for p in parts]}).encode()
@@ -155,8 +155,8 @@ class Shard:
         for level in reversed(range(self.levels)):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty(self.n, dtype=kind)
-            up[~ones] = now[: self.zeros[level]]
-            up[ones] = now[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~ones)] = now[: self.zeros[level]]
+            up[np.flatnonzero(ones)] = now[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             now = up
         return self.alphabet[now] if self.levels else np.zeros(0, dtype="<u4")
 
