@@ -112,8 +112,10 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves, jumps = best_leaves(messages, branches)
     on = leaves.select("tree", "branch", F.lit(0).alias("steps"), "node")
     for i in reversed(range(len(jumps))):
-        further = on.join(jumps[i].hint("merge"), ["tree", "node"]).select("tree", "branch", (F.col("steps") + (1 << i)).alias("steps"), F.col("up").alias("node"))
-        on = on.unionByName(further)
+        # Every message stays and brings the one 2**i above it along; the plan names ``on`` once a step.
+        met = on.join(jumps[i].hint("merge"), ["tree", "node"], "left")
+        both = F.array_compact(F.array(F.struct("steps", "node"), F.when(F.col("up").isNotNull(), F.struct((F.col("steps") + (1 << i)).alias("steps"), F.col("up").alias("node")))))
+        on = met.select("tree", "branch", F.explode(both).alias("s")).select("tree", "branch", "s.steps", "s.node")
     return on
 
 
