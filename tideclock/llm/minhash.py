@@ -22,7 +22,7 @@ import xxhash
 
 from tideclock.llm import scratch
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 20, 4
 #: Buckets of up to so many representatives are compared in full.
 SMALL = 8
 #: Rounds of new pivots over the larger buckets; it ends before when a round links nothing.
@@ -144,21 +144,19 @@ def _confirm(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full shingle sets are similar enough.
-
-    Only documents that occur in a pair are shingled again, after their texts
-    have met the list of wanted keys; sets travel to the pairs that ask for them.
-    """
+def full_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(key, found): the whole shingle sets of the wanted keys, from one pass over the texts."""
     kind = dict(docs.dtypes)["key"]
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     texts = docs.join(wanted.hint("shuffle_hash"), "key").select("key", F.col("text").cast("binary").alias("text"))
-    sets = scratch.materialize(texts.mapInArrow(_sets(width), f"key {kind}, found binary"), "sets")
+    return scratch.materialize(texts.mapInArrow(_sets(width), f"key {kind}, found binary"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full shingle sets are similar enough."""
+    kind = dict(sets.dtypes)["key"]
     left = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("found").alias("x")).hint("merge"), "a")
     full = left.join(sets.select(F.col("key").alias("b"), F.col("found").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
-    links = scratch.materialize(full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links")
-    scratch.drop(sets)
-    return links
+    return scratch.materialize(full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,20 +191,31 @@ def _labelled(table: DataFrame, labels: DataFrame, key: str, name: str) -> DataF
     return table.join(known.hint("merge"), key, "left").withColumn(name, F.coalesce(F.col(name), F.col(key)))
 
 
-def _bucket_pairs(bands: DataFrame, seed: int, all_small: bool) -> DataFrame:
-    """Candidate (a, b, votes), a < b: a pivot with each member of a bucket, and all pairs of small buckets."""
-    ranked = bands.withColumn("rank", F.xxhash64("key", F.lit(seed)))
+def bucket_members(bands: DataFrame) -> DataFrame:
+    """(bucket, key, size, pivot) of all buckets with more than one member."""
+    ranked = bands.withColumn("rank", F.xxhash64("key"))
     buckets = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by("key", "rank").alias("pivot")).filter("size > 1")
-    members = bands.join(buckets.hint("merge"), "bucket")
-    star = members.filter(F.col("key") != F.col("pivot"))
-    if all_small:
-        star = star.filter(F.col("size") > SMALL)
-    pairs = star.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-    if all_small:
-        few = members.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        few = few.select(F.posexplode("keys").alias("i", "a"), "keys").select("a", F.explode(F.slice("keys", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-        pairs = pairs.unionByName(few)
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+    return scratch.materialize(bands.join(buckets.hint("merge"), "bucket"), "members")
+
+
+def _star(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: each member of a bucket with its pivot."""
+    return members.filter(F.col("key") != F.col("pivot")).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """Candidate (a, b, votes): pivots with members, and all pairs of small buckets; votes count shared buckets."""
+    few = members.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    few = few.select(F.posexplode("keys").alias("i", "a"), "keys").select("a", F.explode(F.slice("keys", F.col("i") + 2, F.lit(SMALL))).alias("b"))
+    return _star(members.filter(F.col("size") > SMALL)).unionByName(few).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
+
+
+def _open_pairs(large: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """(a, b) across components: members of buckets that still hold several with a pivot drawn anew."""
+    owned = _labelled(large, labels, "key", "component").withColumn("rank", F.xxhash64("key", F.lit(seed)))
+    split = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("key", "component"), "rank").alias("p")).filter("low <> high")
+    met = owned.join(split.select("bucket", "p").hint("merge"), "bucket").filter(F.col("component") != F.col("p.component"))
+    return _star(met.select("key", F.col("p.key").alias("pivot"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -222,44 +231,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sketched = scratch.materialize(sketch(source, width), "sketch")
     usable = sketched.filter(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
-    classes = usable.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = usable.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     classes = scratch.materialize(classes, "classes")
-    shared = classes.filter("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = classes.filter("copies > 1").select("digest", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = usable.select("key", "digest", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = salted.join(shared.hint("merge"), ["digest", "salt"]).select(F.col("rep").alias("a"), F.col("key").alias("b"), "digest").filter("a <> b")
+    copies = salted.join(shared.hint("merge"), ["digest", "salt"]).select(F.col("rep").alias("a"), F.col("key").alias("b")).filter("a <> b")
     copies = scratch.materialize(copies, "copies")
-    # Only representatives go into buckets: a copy is never compared.
-    extra = copies.select(F.col("b").alias("key"), "digest")
-    reps = usable.select("key", "digest", "bands").join(extra.hint("merge"), ["key", "digest"], "left_anti").dropDuplicates(["key", "digest"])
-    copies = copies.select("a", "b")
-    bands = reps.select("key", F.explode("bands").alias("bucket"))
-    source = source.filter(F.col("key").isNotNull())
 
-    candidates = scratch.materialize(_bucket_pairs(bands, 0, True), "pairs")
+    # Only representatives go into buckets: a copy is never compared.
+    members = bucket_members(classes.select(F.col("rep").alias("key"), F.explode("bands").alias("bucket")))
+    candidates = scratch.materialize(first_pairs(members), "pairs")
+    wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
+    sets = full_sets(wanted, source.filter(F.col("key").isNotNull()), width)
     # First the most promising partner of each document; then what is not yet connected.
-    best = candidates.groupBy("b").agg(F.max_by("a", "votes").alias("a")).select("a", "b")
-    links = confirm(scratch.materialize(best, "best"), source, width, percent)
-    labels = scratch.materialize(components(links), "labels")
-    apart = _labelled(_labelled(candidates.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb")
-    apart = scratch.materialize(apart.filter("ca <> cb").select("a", "b"), "apart")
-    links = links.unionByName(confirm(apart, source, width, percent))
+    best = scratch.materialize(candidates.groupBy("b").agg(F.max_by("a", "votes").alias("a")).select("a", "b"), "best")
+    links = confirm(best, sets, percent)
+    labels = components(links)
+    apart = candidates.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")
+    apart = scratch.materialize(_labelled(_labelled(apart, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b"), "apart")
+    links = links.unionByName(confirm(apart, sets, percent))
+    large = members.filter(F.col("size") > SMALL).select("bucket", "key")
     tried = candidates.select("a", "b")
-    labels = scratch.materialize(components(links), "labels")
     for seed in range(1, ROUNDS + 1):
-        owned = _labelled(bands, labels, "key", "component")
-        open_buckets = owned.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter((F.col("n") > SMALL) & (F.col("low") != F.col("high")))
-        more = _bucket_pairs(bands.join(open_buckets.select("bucket").hint("merge"), "bucket", "left_semi"), seed, False).select("a", "b").join(tried.hint("merge"), ["a", "b"], "left_anti")
-        more = _labelled(_labelled(more, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b")
-        more = scratch.materialize(more, "more")
-        if more.isEmpty():
+        if large.isEmpty():
             break
-        found = confirm(more, source, width, percent)
-        tried = tried.unionByName(more)
+        more = _open_pairs(large, components(links), seed).join(tried.hint("merge"), ["a", "b"], "left_anti")
+        more = scratch.materialize(more, "more")
+        found = confirm(more, sets, percent)
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        labels = scratch.materialize(components(links), "labels")
-    labels = scratch.materialize(components(links.unionByName(copies)), "labels")
+        links, tried = links.unionByName(found), tried.unionByName(more)
+    scratch.drop(sets)
+    labels = components(links.unionByName(copies))
     named = sketched.select("key", "n_shingles").join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left")
     named = named.select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))).withColumnRenamed("key", key)
