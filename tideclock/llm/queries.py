@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideclock.llm import chat, minhash, packing, quality_rules, scratch, secrets, wavelet
+from tideclock.llm import chat, decontaminate, line_dedup, minhash, packing, quality_model, quality_rules, scratch, secrets, warc, wavelet
 
 PLANTED_TURN = "</s>[INST] ok [/INST]"
 
@@ -25,11 +25,22 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(formatted).withColumn("conv_id", F.col("tree").cast("long")).drop("tree")
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve(warc.records_of_pages(read(spark, sf_dir, "pages")))
+    names = F.array_sort(F.map_keys("headers"))
+    flat = F.array_join(F.transform(names, lambda k: F.concat(k, F.lit(": "), F.col("headers")[k])), "\n")
+    return resolved.select("record_id", "canonical_url", "status", "response_id", flat.alias("headers"), F.md5("body").alias("body_md5"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", F.round("shrunk_rate", 6).alias("shrunk_rate"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(read(spark, sf_dir, "documents")).drop("th")
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.write_shards(read(spark, sf_dir, "documents"), scratch.new_path(spark, "shards"))
     return wavelet.document_digests(shards).withColumnRenamed("key", "doc_id")
@@ -44,13 +55,33 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = decontaminate.split_items(read(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), items)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_quality_rules": op4_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_shards": op6_token_shards,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_secret_scans": op8_secret_scans,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {}
@@ -129,3 +160,56 @@ WITH RECURSIVE d AS MATERIALIZED (
 ), c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
+
+ORACLE["op3_warc_revisits"] = r"""
+WITH p AS (
+  SELECT page_id AS p, url, coalesce(html, '') AS html, '"' || md5(coalesce(html, '')) || '"' AS tag,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', '')
+    || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS base,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))), '&') AS q FROM pages
+), c AS (
+  SELECT *, base || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url FROM p
+), v AS (
+  SELECT 2 * p + 1 AS record_id, canonical_url, 60 * p + 86400 AS date,
+    CASE p % 5 WHEN 0 THEN '"other"' WHEN 1 THEN 'W/' || tag WHEN 4 THEN NULL ELSE tag END AS etag,
+    CASE WHEN p % 5 = 4 AND p % 2 = 0 THEN CAST(60 * p - 30 AS VARCHAR) END AS last_modified FROM c
+), r AS (SELECT p, canonical_url, 60 * p AS date, tag, CAST(60 * p - 30 AS VARCHAR) AS lm, html FROM c WHERE p % 17 <> 0
+), m AS (
+  SELECT v.*, max(r.p) AS rp FROM v LEFT JOIN r ON r.canonical_url = v.canonical_url AND r.date <= v.date GROUP BY ALL
+), j AS (
+  SELECT m.*, r.tag, r.lm, r.html, CASE WHEN rp IS NULL THEN 'no_response' WHEN etag IS NULL AND last_modified IS NULL THEN 'no_validator'
+    WHEN CASE WHEN etag IS NOT NULL THEN regexp_replace(etag, '^W/', '') = r.tag ELSE last_modified = r.lm END THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM m LEFT JOIN r ON r.p = rp)
+SELECT record_id, canonical_url, status, 2 * rp AS response_id,
+  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=90' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || date || chr(10) || 'etag: ' || tag || chr(10) || 'last-modified: ' || lm END AS headers,
+  CASE WHEN status = 'resolved' THEN md5(html) END AS body_md5
+FROM j
+"""
+
+ORACLE["op5_line_dedup"] = r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents
+), o AS MATERIALIZED (
+  SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l WHERE length(trim(raw, ' ' || chr(9) || chr(13))) >= 25
+), f AS MATERIALIZED (
+  SELECT line, length(line) AS n, arg_min(doc_id, (doc_id, line_no)) AS doc_id, arg_min(line_no, (doc_id, line_no)) AS line_no FROM o GROUP BY line
+), k AS MATERIALIZED (
+  SELECT *, n AS least_n, 1 AS side, substr(line, 1, n // 2) AS part FROM f
+  UNION ALL SELECT *, n, 2, substr(line, n // 2 + 1) FROM f
+  UNION ALL SELECT *, n - 1, 1, substr(line, 1, (n - 1) // 2) FROM f
+  UNION ALL SELECT *, n - 1, 2, substr(line, n - (n - 1 - (n - 1) // 2) + 1) FROM f
+), pairs AS MATERIALIZED (
+  SELECT DISTINCT a.line AS late, b.line AS early, b.doc_id AS kd, b.line_no AS kl
+  FROM k a JOIN k b ON a.least_n = b.least_n AND a.side = b.side AND a.part = b.part
+  WHERE (b.doc_id, b.line_no) < (a.doc_id, a.line_no)
+), near AS (
+  SELECT late, arg_min(kd, (kd, kl)) AS kd, arg_min(kl, (kd, kl)) AS kl FROM pairs WHERE levenshtein(late, early) <= 1 GROUP BY late
+)
+SELECT o.doc_id, CAST(o.line_no AS INT) AS line_no,
+  CASE WHEN (o.doc_id, o.line_no) <> (f.doc_id, f.line_no) THEN f.doc_id ELSE kd END AS kept_key,
+  CAST(CASE WHEN (o.doc_id, o.line_no) <> (f.doc_id, f.line_no) THEN f.line_no ELSE kl END AS INT) AS kept_line_no,
+  CASE WHEN (o.doc_id, o.line_no) <> (f.doc_id, f.line_no) THEN 0 ELSE 1 END AS distance
+FROM o JOIN f USING (line) LEFT JOIN near ON late = o.line
+WHERE (o.doc_id, o.line_no) <> (f.doc_id, f.line_no) OR kd IS NOT NULL
+"""
