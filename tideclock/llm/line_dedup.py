@@ -5,10 +5,11 @@ left out to turn one into the other. A line is dropped if an earlier line, by
 document and number, is its duplicate.
 
 Lines that share a deletion variant are the candidates. To keep the variants of
-a whole corpus few, a line is first cut into pieces in such a way that a
-duplicate pair agrees in all but one of them; only lines that agree with
-another line in all but one piece emit variants, and only of that piece. This
-loses no pair. Variants carry the place of the deletion: lines of one length
+a whole corpus few, two filters come first, neither of which loses a pair. A
+duplicate pair agrees in its first or in its last half; lines that agree in
+neither half with another line are left out. The others are cut into pieces in
+such a way that a duplicate pair agrees in all but one of them; lines that agree
+with another in all but one piece emit variants, and only of that piece. Variants carry the place of the deletion: lines of one length
 that agree after a deletion at one place are all duplicates of each other, and
 a line that is itself a variant is a duplicate of all lines that have it, so
 each group needs its earliest member only and no pairs are listed.
@@ -43,6 +44,15 @@ def _piece_key(line: Column, shape: Column, q: Column) -> Column:
     return F.xxhash64(shape["m"], shape["w"], q, F.left(line, (q * shape["w"]).cast("int")), F.right(line, ((shape["m"] - 1 - q) * shape["w"]).cast("int")))
 
 
+def half_keys(line: Column) -> Column:
+    """Numbers of a line's first and last half, as the shorter and as the longer one of a pair."""
+    n = F.length(line)
+    half = lambda k: (k - k % 16) / 2
+    own, other = half(n).cast("int"), half(n - 1).cast("int")
+    keys = [F.xxhash64(F.lit(side), w, part) for w in (own, other) for side, part in ((1, F.left(line, w)), (2, F.right(line, w)))]
+    return F.when(own == other, F.array(*keys[:2])).otherwise(F.array(*keys))
+
+
 def piece_keys(line: Column) -> Column:
     per_shape = F.transform(_shapes(line), lambda s: F.transform(F.sequence(F.lit(0), s["m"] - 1), lambda q: _piece_key(line, s, q)))
     return F.array_distinct(F.flatten(per_shape))
@@ -81,27 +91,32 @@ def _trimmed(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(key, th, line_no, h1, h2, pieces) of every judged line of (key, th, text); narrow, without texts."""
+    """(key, th, line_no, h1, h2, halves) of every judged line of (key, th, text); narrow, without texts."""
     lines = docs.select("key", "th", F.posexplode(_split(F.col("text"))).alias("line_no", "raw")).select("key", "th", "line_no", _trimmed(F.col("raw")).alias("line"))
     lines = lines.filter(F.length("line") >= MIN_CHARS)
-    return lines.select("key", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), piece_keys(F.col("line")).alias("pieces"))
+    return lines.select("key", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), half_keys(F.col("line")).alias("halves"))
+
+
+def _agreeing(keyed: DataFrame) -> DataFrame:
+    """(h1, h2, keys): of (h1, h2, k), each line with the keys that it shares with another line."""
+    shared = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k")
+    return keyed.join(shared.hint("merge"), "k", "left_semi").groupBy("h1", "h2").agg(F.collect_set("k").alias("keys"))
 
 
 def _suspects(firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(h1, h2, first, line, bad): distinct lines that agree with another in all but one piece, with those pieces' keys."""
-    keyed = firsts.select("h1", "h2", F.explode("pieces").alias("piece"))
-    shared = keyed.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("piece")
-    bad = keyed.join(shared.hint("merge"), "piece", "left_semi").groupBy("h1", "h2").agg(F.collect_list("piece").alias("bad"))
-    named = bad.join(firsts.select("h1", "h2", "first").hint("merge"), ["h1", "h2"])
-    wanted = named.groupBy("first.key", "first.th").agg(F.collect_list(F.struct("first.line_no", "h1", "h2", "bad")).alias("lines")).select(F.col("key").alias("k"), F.col("th").alias("t"), "lines")
+    """(h1, h2, first, line): distinct lines that agree with another in a half, with their texts."""
+    named = _agreeing(firsts.select("h1", "h2", F.explode("halves").alias("k"))).select("h1", "h2").join(firsts.select("h1", "h2", "first").hint("merge"), ["h1", "h2"])
+    wanted = named.groupBy("first.key", "first.th").agg(F.collect_list(F.struct("first.line_no", "h1", "h2")).alias("lines")).select(F.col("key").alias("k"), F.col("th").alias("t"), "lines")
     met = docs.join(wanted.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("k")) & (F.col("th") == F.col("t")))
     each = met.select("key", "th", F.transform("lines", lambda x: F.struct(x.alias("x"), _trimmed(_split(F.col("text"))[x["line_no"]]).alias("line"))).alias("lines"))
-    rows = each.select("key", "th", F.explode("lines").alias("r")).select(F.col("r.x.h1").alias("h1"), F.col("r.x.h2").alias("h2"), F.struct("key", "th", F.col("r.x.line_no").alias("line_no")).alias("first"), "r.line", F.col("r.x.bad").alias("bad"))
+    rows = each.select("key", "th", F.explode("lines").alias("r")).select(F.col("r.x.h1").alias("h1"), F.col("r.x.h2").alias("h2"), F.struct("key", "th", F.col("r.x.line_no").alias("line_no")).alias("first"), "r.line")
     return rows.dropDuplicates(["h1", "h2"])
 
 
 def _leaders(suspects: DataFrame) -> DataFrame:
     """(h1, h2, lead, l1, l2): for each suspect line that has one, an earlier duplicate."""
+    bad = _agreeing(suspects.select("h1", "h2", F.explode(piece_keys(F.col("line"))).alias("k"))).withColumnRenamed("keys", "bad")
+    suspects = scratch.materialize(suspects.join(bad.hint("merge"), ["h1", "h2"]), "pieces")
     pieces = suspects.select("h1", "h2", "first", F.explode(F.filter(_pieces(F.col("line")), lambda p: F.array_contains(F.col("bad"), p["key"]))).alias("piece"))
     rows = pieces.select(F.struct("first", "h1", "h2").alias("who"), F.explode(_variants(F.col("piece"))).alias("x")).select("who", "x.v", "x.at")
     same = F.min("who").over(W.partitionBy("v", "at"))
@@ -128,7 +143,7 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     seen = scratch.materialize(occurrences(rows), "lines")
     place = F.struct("key", "th", "line_no")
-    firsts = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("pieces").alias("pieces"))
+    firsts = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
     firsts = scratch.materialize(firsts, "firsts")
     suspects = scratch.materialize(_suspects(firsts, rows), "suspects")
     leaders = scratch.materialize(_leaders(suspects), "leaders")
