@@ -26,11 +26,11 @@ THRESHOLD = 0.4
 #: Share of the question's shingles that makes a leak; also for the answer, which is told apart.
 OVERLAP = 0.5
 WIDTH = 5
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 #: Least words in half a passage; longer items make longer passages.
 HALF = 64
 #: Items of one index. More items make more indexes, each of which is broadcast and meets the whole corpus.
-SHARD_ITEMS = 20_000
+SHARD_ITEMS = 1_000
 
 _FOLD = bytes(32 if b < 33 or b in b".,;:!?\"'()[]{}" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -79,35 +79,32 @@ class Index:
             tf = np.array(list(counts.values()), dtype=float)
             w = idf[list(counts)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
             weights.append(w / w.sum())
-        # Items of like length share blocks, so that a block's most is close to its members'.
-        order = sorted(range(n), key=lambda i: (len(rows[i]), i))
+        # Items that share their commonest terms share blocks, so that a block's most is close to its members'.
+        common = [sorted(counts, key=lambda t: (-frequency[t], t))[:2] for counts in rows]
+        order = sorted(range(n), key=lambda i: (common[i], len(rows[i]), i))
         self.items = [made[i] for i in order]
         self.blocks = -(-n // BLOCK_ITEMS)
         self.most = np.zeros((len(self.terms), self.blocks), dtype=np.float32)
-        postings: list[list[tuple[int, int, float]]] = [[] for _ in range(self.blocks)]
-        for place, i in enumerate(order):
-            block, slot = divmod(place, BLOCK_ITEMS)
-            for t, w in zip(rows[i], weights[i], strict=True):
-                postings[block].append((t, slot, w))
-                self.most[t, block] = max(self.most[t, block], w * (1 + 1e-6))
-        self.impacts = [{(t, s): w for t, s, w in block} for block in postings]
-        self.by_term: list[dict[int, list[tuple[int, float]]]] = []
-        for block in postings:
-            found: dict[int, list[tuple[int, float]]] = {}
-            for t, s, w in block:
-                found.setdefault(t, []).append((s, w))
-            self.by_term.append(found)
-        del self.impacts
+        # Of each block: its terms in order, and their impacts on its items.
+        self.block_terms: list[np.ndarray] = []
+        self.block_impacts: list[np.ndarray] = []
+        for block in range(self.blocks):
+            members = order[block * BLOCK_ITEMS : (block + 1) * BLOCK_ITEMS]
+            found = np.array(sorted({t for i in members for t in rows[i]}), dtype=np.int64)
+            impacts = np.zeros((len(found), BLOCK_ITEMS))
+            for slot, i in enumerate(members):
+                impacts[np.searchsorted(found, list(rows[i])), slot] = weights[i]
+            self.block_terms.append(found)
+            self.block_impacts.append(impacts)
+            self.most[found, block] = impacts.max(axis=1) * (1 + 1e-6)
         self.questions = [shingles(q) for _, q, _ in self.items]
         self.answers = [shingles(a) for _, _, a in self.items]
 
-    def scores(self, terms: set[int], block: int) -> np.ndarray:
-        out = np.zeros(BLOCK_ITEMS)
-        found = self.by_term[block]
-        for t in terms:
-            for slot, w in found.get(t, ()):
-                out[slot] += w
-        return out
+    def scores(self, terms: np.ndarray, block: int) -> np.ndarray:
+        """BM25 of a passage's distinct terms on the items of a block, as shares of their own scores."""
+        found = self.block_terms[block]
+        at = np.minimum(np.searchsorted(found, terms), len(found) - 1)
+        return self.block_impacts[block][at[found[at] == terms]].sum(axis=0)
 
     def search(self, text: bytes | None) -> dict[int, tuple[float, float, float]]:
         """item -> (best score, question overlap, answer overlap) of the leaks in a text.
@@ -123,29 +120,35 @@ class Index:
         at = np.flatnonzero(ids >= 0)
         if not len(at):
             return {}
-        n = len(self.terms)
-        pairs = np.unique(at // self.half * n + ids[at])
-        halves, terms = np.divmod(pairs, n)
-        first = np.flatnonzero(np.diff(halves, prepend=-1))
-        bound = np.zeros((int(halves[-1]) + 2, self.blocks), dtype=np.float32)
-        bound[halves[first]] = np.add.reduceat(self.most[terms], first, axis=0)
-        passes = np.argwhere(bound[:-1] + bound[1:] >= THRESHOLD)
+        n, half = len(self.terms), at // self.half
+        last = max(0, (len(of) - 1) // self.half - 1)  # the last passage is the last two halves
+        own = np.minimum(half, last) * n + ids[at]
+        before = half > 0
+        pairs = np.unique(np.concatenate([own, (half[before] - 1) * n + ids[at[before]]]))
+        passages, terms = np.divmod(pairs, n)
+        first = np.flatnonzero(np.diff(passages, prepend=-1))
+        bound = np.add.reduceat(self.most[terms], first, axis=0)
+        passes = np.argwhere(bound >= THRESHOLD)
         if not len(passes):
             return {}
-        edges = np.searchsorted(halves, np.arange(int(halves[-1]) + 3))
+        edges = [*first.tolist(), len(terms)]
         out: dict[int, tuple[float, float, float]] = {}
-        held: tuple[int, set[int], set[bytes]] = (-1, set(), set())
-        for half, block in passes.tolist():
-            if held[0] != half:
-                run = of[half * self.half : (half + 2) * self.half]
-                held = (half, set(terms[edges[half] : edges[half + 2]].tolist()), shingles(run) if len(run) >= WIDTH else set())
-                run_words = run
-            scores = self.scores(held[1], block)
+        run: list[bytes] = []
+        full: set[bytes] = set()
+        held = -1
+        for row, block in passes.tolist():
+            scores = self.scores(terms[edges[row] : edges[row + 1]], block)
+            if scores.max() < THRESHOLD:
+                continue
+            if held != row:
+                start = int(passages[first[row]]) * self.half
+                held, run = row, of[start : start + 2 * self.half]
+                full = shingles(run) if len(run) >= WIDTH else set()
             for slot in np.flatnonzero(scores >= THRESHOLD).tolist():
                 place = block * BLOCK_ITEMS + slot
                 item = self.items[place][0]
-                question = _share(self.questions[place], held[2], run_words)
-                answer = _share(self.answers[place], held[2], run_words)
+                question = _share(self.questions[place], full, run)
+                answer = _share(self.answers[place], full, run)
                 whole = question if self.questions[place] else answer
                 if whole >= OVERLAP:
                     old = out.get(item, (0.0, 0.0, 0.0))
