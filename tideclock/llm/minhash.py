@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 import xxhash
 
 from tideclock.llm import scratch
@@ -159,26 +159,31 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return scratch.materialize(full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links")
 
 
+def _observed(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges written down, and their number and sum of hashes, taken on the way."""
+    seen = Observation()
+    table = scratch.materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    return table, seen.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of (a, b); a component's name is its least node.
 
     Alternates the large-star and small-star steps, each written to the shared
     folder, until no edge changes.
     """
-    now = scratch.materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now, mark = _observed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
+    while mark != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least.hint("merge"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("x"), "m", "u")
-        small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = scratch.materialize(small, "edges")
+        small = large.join(least.hint("merge"), "u")
+        # Each neighbour points at the least one, and so does the node itself; one row brings both.
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        before = mark
+        after, mark = _observed(small.filter("u <> v").distinct())
         scratch.drop(now)
         now = after
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
@@ -246,23 +251,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # First the most promising partner of each document; then what is not yet connected.
     best = scratch.materialize(candidates.groupBy("b").agg(F.max_by("a", "votes").alias("a")).select("a", "b"), "best")
     links = confirm(best, sets, percent)
-    labels = components(links)
+    # Two steps along these links, which lead to smaller keys, tell most connected pairs; a pair they miss is just compared.
+    once = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    labels = scratch.materialize(_labelled(once, once, "component", "further").select("node", F.col("further").alias("component")), "labels")
     apart = candidates.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")
     apart = scratch.materialize(_labelled(_labelled(apart, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b"), "apart")
-    links = links.unionByName(confirm(apart, sets, percent))
+    labels = components(links.unionByName(confirm(apart, sets, percent)))
     large = members.filter(F.col("size") > SMALL).select("bucket", "key")
     tried = candidates.select("a", "b")
     for seed in range(1, ROUNDS + 1):
-        if large.isEmpty():
-            break
-        more = _open_pairs(large, components(links), seed).join(tried.hint("merge"), ["a", "b"], "left_anti")
+        more = _open_pairs(large, labels, seed).join(tried.hint("merge"), ["a", "b"], "left_anti")
         more = scratch.materialize(more, "more")
+        if more.isEmpty():
+            break
         found = confirm(more, sets, percent)
         if found.isEmpty():
             break
-        links, tried = links.unionByName(found), tried.unionByName(more)
+        tried = tried.unionByName(more)
+        labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     scratch.drop(sets)
-    labels = components(links.unionByName(copies))
+    labels = components(copies.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = sketched.select("key", "n_shingles").join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left")
     named = named.select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))).withColumnRenamed("key", key)
