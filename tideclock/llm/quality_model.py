@@ -142,9 +142,15 @@ def fold_of(key: object) -> int:
     return zlib.crc32(str(key).encode()) % FOLDS
 
 
-def _sample(rows: DataFrame, most: int) -> np.ndarray:
-    """At most ``most`` feature rows, the first by a hash of their keys."""
-    got = rows.select("x", F.xxhash64("key").alias("h")).orderBy("h").limit(most).select("x").toPandas()
+def _sample(rows: DataFrame, total: int, most: int) -> np.ndarray:
+    """About ``most`` feature rows, or all of fewer: those whose keys hash lowest.
+
+    The cut is set from the number of rows, so that tasks send the sample to the
+    driver and no more, however many they are.
+    """
+    h = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    drawn = rows if total <= most else rows.filter(h < int((1 << 40) * most / total))
+    got = drawn.select("x").toPandas()
     return np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
 
 
@@ -157,11 +163,11 @@ def train(measured: DataFrame, labels: DataFrame, label: str = "quality") -> Mod
     usable = labels.filter(F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0))
     judged = usable.groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
     judged = scratch.materialize(judged, "judged")
-    share = judged.agg(F.avg("y")).first()[0]
+    share, positive = judged.agg(F.avg("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = DEFAULT_PRIOR if share is None else min(max(share, 0.01), 0.99)
     rows = measured.filter(F.col("key").isNotNull() & (fold(F.col("key")) != 0))
     positives = rows.join(judged.filter("y = 1").select("key").hint("merge"), "key", "left_semi")
-    return fit_nnpu(_sample(positives, MAX_POSITIVES), _sample(rows, MAX_UNLABELLED), prior)
+    return fit_nnpu(_sample(positives, positive, MAX_POSITIVES), _sample(rows, rows.count(), MAX_UNLABELLED), prior)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
