@@ -15,6 +15,7 @@ every backslash, ``[`` and ``<``, so that no control string can appear there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 import hashlib
 import re
 
@@ -85,26 +86,23 @@ def best_leaves(messages: DataFrame, branches: int) -> tuple[DataFrame, list[Dat
     up = nodes.select("tree", "node", "score", F.col("parent").alias("up"))
     up = up.join(known.withColumnRenamed("parent", "up").withColumn("there", F.lit(True)).hint("merge"), ["tree", "up"], "left")
     up = up.select("tree", "node", F.when(F.col("there"), F.col("up")).alias("up"), "score")
-    jumps, limit = [], 0
     up = scratch.materialize(up, "jump")
-    total = up.count()
+    total, jumps, finished = up.count(), [], []
     while True:
-        jumps.append(up.filter(F.col("up").isNotNull()).select("tree", "node", "up"))
-        if jumps[-1].isEmpty() or 1 << limit > total:
+        # Messages that see their root are done; the others look twice as far, through whatever they point at.
+        active = up.filter(F.col("up").isNotNull())
+        finished.append(up.filter(F.col("up").isNull()))
+        if active.isEmpty() or 1 << len(jumps) > total:
             break
-        above = up.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
-        up = up.join(above.hint("merge"), ["tree", "up"], "left").select(
-            "tree",
-            "node",
-            F.col("next").alias("up"),
-            (F.col("score") + F.coalesce(F.col("more"), F.lit(0.0))).alias("score"),
-        )
+        jumps.append(active.select("tree", "node", "up"))
+        seen = reduce(DataFrame.unionByName, finished, active)
+        above = seen.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
+        up = active.join(above.hint("merge"), ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"))
         up = scratch.materialize(up, "jump")
-        limit += 1
     inner = nodes.filter(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node")).distinct()
-    leaves = up.filter(F.col("up").isNull()).join(inner.hint("merge"), ["tree", "node"], "left_anti")
+    leaves = reduce(DataFrame.unionByName, finished).join(inner.hint("merge"), ["tree", "node"], "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.col("score").desc(), "node"))
-    return leaves.withColumn("branch", rank).filter(F.col("branch") <= branches), jumps[:-1] if len(jumps) > 1 else jumps
+    return leaves.withColumn("branch", rank).filter(F.col("branch") <= branches), jumps
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
