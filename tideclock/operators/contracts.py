@@ -17,7 +17,8 @@ def typed_catalog(raw: DataFrame) -> DataFrame:
 
 
 def typed_log(raw: DataFrame) -> DataFrame:
-    """String deliveries as typed ones. Copies of a delivery are equal rows, so any order will do among them."""
+    """String deliveries as typed ones. Copies of a delivery are equal rows, so any order among them will do."""
+    copies = W.partitionBy("delivery_id").orderBy("delivery_seq", "recorded_at")
     return raw.select(
         "delivery_id",
         S.positive_int(F.col("delivery_seq")).alias("delivery_seq"),
@@ -29,7 +30,7 @@ def typed_log(raw: DataFrame) -> DataFrame:
         S.instant_epoch(F.col("event_time")).alias("event_epoch"),
         S.instant_epoch(F.col("recorded_at")).alias("recorded_epoch"),
         "synthetic_record",
-        F.xxhash64("delivery_id").alias("input_index"),
+        F.row_number().over(copies).cast("long").alias("input_index"),
     )
 
 
