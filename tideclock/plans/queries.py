@@ -192,7 +192,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = effective_versions(spark, sf_dir)
     tables.write_csv(out, folder, ["event_id"])
     back = tables.read_csv(spark, folder, out.columns)
-    return back.select(*(F.col(c).try_cast(t).alias(c) for c, t in out.dtypes))
+    return back.select(*(F.nullif(F.col(c), F.lit("")).try_cast(t).alias(c) for c, t in out.dtypes))
 
 
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

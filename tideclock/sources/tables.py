@@ -57,7 +57,7 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | list[str
             raise ReplayError(f"{path}: rows of another width than the header")
     finally:
         rows.unpersist()
-    return spark.read.schema(schema).options(**options).csv(str(path)).select(*columns)
+    return spark.read.schema(schema).options(**options).csv(str(path)).select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns))
 
 
 def keyed(table: DataFrame, key: str = "case_id") -> DataFrame:

@@ -33,7 +33,7 @@ def start(spark: SparkSession, source: str, schema: StructType, folder: str, che
 
 
 def stored_log(spark: SparkSession, schema: StructType, folder: str) -> DataFrame:
-    return spark.read.schema(schema).option("basePath", folder).parquet(folder)
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder).select(*schema.names)
 
 
 def snapshot_states(catalog: DataFrame, log: DataFrame, as_of: int) -> DataFrame:
