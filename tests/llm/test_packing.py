@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideclock.llm import packing, tokens
@@ -89,7 +90,7 @@ def test_registered_query(spark, data):
 
     rows = QUERIES["op1_best_fit_packing"](spark, data).collect()
     texts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
-    want = {r["doc_id"]: next(tokens.documents([r["text"] or ""], PATH)) for r in texts}
+    want = {r["doc_id"]: next(tokens.documents(pa.array([r["text"]], pa.string()), PATH)) for r in texts}
     for r in rows:
         piece = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
         assert zlib.crc32(piece.astype("<u4").tobytes()) == r["ids_crc32"]

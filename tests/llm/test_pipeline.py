@@ -4,6 +4,7 @@ from collections import defaultdict
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
@@ -75,7 +76,7 @@ def test_decontamination(stages, spark, data):
 
 def test_packing(stages):
     _, before, after = stages[4]
-    want = {d: next(tokens.documents([text], tokens.default_tokenizer())) for d, text, *_ in before}
+    want = {d: next(tokens.documents(pa.array([text], pa.string()), tokens.default_tokenizer())) for d, text, *_ in before}
     bins = defaultdict(list)
     for d, _, start, length, crc, sequence, offset in after:
         assert zlib.crc32(want[d][start : start + length].astype("<u4").tobytes()) == crc

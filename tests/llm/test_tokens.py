@@ -1,5 +1,6 @@
 """Word-by-word encoding against the tokenizer itself."""
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from tideclock.llm import tokens
@@ -12,7 +13,7 @@ def plain(texts):
 
 
 def ours(texts):
-    return [x.tolist() for x in tokens.documents(texts, PATH)]
+    return [x.tolist() for x in tokens.documents(pa.array(texts, pa.string()), PATH)]
 
 
 def check(texts):
@@ -36,6 +37,12 @@ def test_forgetting_changes_nothing(monkeypatch):
     check(["one eight nine", "two"])
 
 
+def test_nulls_and_slices():
+    texts = pa.array(["zero", "one two", None, "three"], pa.string())
+    assert [x.tolist() for x in tokens.documents(texts[1:], PATH)] == ours(["one two", "", "three"])
+
+
 def test_runs_cover_all():
-    texts = ["x" * n for n in (0, 5, 3, 0, 9, 1)]
-    assert [t for r in tokens.runs(texts, 6) for t in texts[r]] == texts
+    texts = pa.array(["x" * n for n in (0, 5, 3, 0, 9, 1)])
+    assert [t for r in tokens.runs(texts, 6) for t in texts[r].to_pylist()] == texts.to_pylist()
+    assert tokens.runs(texts[:0]) == []

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tideclock.llm import scratch, tokens, wavelet
@@ -41,7 +42,7 @@ def test_not_a_shard():
 def want(docs):
     out, start = [], 0
     for key, text in docs:
-        ids = next(tokens.documents([text or ""], PATH))
+        ids = next(tokens.documents(pa.array([text or ""], pa.string()), PATH))
         out.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
         start += len(ids)
     return out

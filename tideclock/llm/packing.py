@@ -106,8 +106,7 @@ def _first_round(path: str, size: int, open_bins: int):
         packer, rows = Packer(size, open_bins), None
         for batch in batches:
             rows = rows or _Rows(_schema(batch.column(0).type), TaskContext.get().partitionId() << 32)
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), tokens.documents(texts, path), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), tokens.documents(batch.column(1), path), strict=True):
                 data = ids.astype("<u4").tobytes()
                 for piece, start in enumerate(range(0, len(ids), size)):
                     length = min(size, len(ids) - start)

@@ -8,12 +8,13 @@ new words to the tokenizer.
 
 from __future__ import annotations
 
-from itertools import chain
 import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 1
 #: Words, and pieces of words, that a worker remembers before it starts afresh.
@@ -34,15 +35,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _lower(text: str) -> str:
-    """The text in lower case if it is Latin-1, whose letters fold one by one as the tokenizer's do."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
-
-
 class _Words(dict):
     """word -> number; unknown words get the next number and wait in ``new``."""
 
@@ -84,6 +76,7 @@ class Encoder:
         splits = [x.get("pattern", {}).get("Regex") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.by_word = normalizers == NORMALIZERS and splits[:1] == [SPLIT]
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # words are remembered here
         self._forget()
 
     def _forget(self) -> None:
@@ -127,24 +120,29 @@ class Encoder:
         self.starts[known : known + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.used += total
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each text has."""
-        if not texts:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has.
+
+        Arrow splits the texts and numbers the words among them, so that only
+        the different words of a call are looked up here. A-Z are folded first,
+        as the tokenizer would; other letters are left to it.
+        """
+        if not len(texts):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         if not self.by_word:
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array([len(ids) for ids in got], dtype=np.int64)
         if len(self.words) > MEMORY_WORDS:
             self._forget()
-        split = [_lower(x).replace("\n", " ").split(" ") for x in texts]
-        look = self.words.__getitem__
-        counts = [len(words) for words in split]
-        numbers = np.fromiter(map(look, chain.from_iterable(split)), dtype=np.int64, count=sum(counts))
+        split = pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
+        numbered = split.flatten().dictionary_encode()
+        known = numbered.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.words.__getitem__, known), dtype=np.int64, count=len(known))[numbered.indices.to_numpy()]
         self._learn()
         lengths = self.lengths[numbers]
         ends = np.cumsum(lengths)
         where = np.repeat(self.starts[numbers] - (ends - lengths), lengths) + np.arange(int(ends[-1]))
-        bounds = np.cumsum(counts)
+        bounds = np.cumsum(pc.list_value_length(split).to_numpy())
         return self.ids[where], np.diff(np.concatenate([[0], ends[bounds - 1]]))
 
 
@@ -158,22 +156,22 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def runs(texts: list[str], size: int = 1 << 20) -> list[slice]:
-    """Slices of the list with about ``size`` characters each, one text at least."""
-    out, first, held = [], 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= size:
-            out.append(slice(first, i + 1))
-            first, held = i + 1, 0
-    if first < len(texts):
-        out.append(slice(first, len(texts)))
+def runs(texts: pa.Array, size: int = 1 << 22) -> list[slice]:
+    """Slices of the array with about ``size`` bytes each, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    out, first = [], 0
+    while first < len(texts):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, side="right")))
+        out.append(slice(first, last))
+        first = last
     return out
 
 
-def documents(texts: list[str], path: str):
-    """The ids of each text with the end id, as arrays, text by text."""
+def documents(texts: pa.Array, path: str):
+    """The ids of each text with the end id, as arrays, text by text; null texts are empty."""
     end = np.array([END_ID], dtype=np.uint32)
+    texts = pc.fill_null(texts, "")
     for part in runs(texts):
         ids, counts = encoder(path).encode(texts[part])
         at = 0

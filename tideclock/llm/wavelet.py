@@ -176,8 +176,7 @@ def _write(path: str, limit: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "shard", "tokens_before", "n_tokens", "n_documents", "content"])
 
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for key, ids in zip(batch.column(0).to_pylist(), tokens.documents(texts, path), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), tokens.documents(batch.column(1), path), strict=True):
                 held.append(ids)
                 keys.append(key)
                 size += len(ids)
