@@ -127,7 +127,9 @@ def _leaders(suspects: DataFrame) -> DataFrame:
     texts = suspects.select("h1", "h2", "line")
     both = led.join(texts.hint("merge"), ["h1", "h2"]).join(texts.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), F.col("line").alias("lead_line")).hint("merge"), ["l1", "l2"])
     proven = both.filter(F.levenshtein("line", "lead_line", 1).between(0, 1))
-    return proven.groupBy("h1", "h2").agg(F.min("lead").alias("lead"))
+    found = scratch.materialize(proven.groupBy("h1", "h2").agg(F.min("lead").alias("lead")), "leaders")
+    scratch.drop(suspects)
+    return found
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,7 +148,8 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     firsts = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
     firsts = scratch.materialize(firsts, "firsts")
     suspects = scratch.materialize(_suspects(firsts, rows), "suspects")
-    leaders = scratch.materialize(_leaders(suspects), "leaders")
+    leaders = _leaders(suspects)
+    scratch.drop(suspects)
     judged = firsts.select("h1", "h2", "first", "n").join(leaders.hint("merge"), ["h1", "h2"], "left").filter((F.col("n") > 1) | F.col("lead").isNotNull())
     found = seen.select("key", "th", "line_no", "h1", "h2").join(judged.hint("merge"), ["h1", "h2"])
     again = (F.col("first") != place).alias("again")

@@ -256,7 +256,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     labels = scratch.materialize(_labelled(once, once, "component", "further").select("node", F.col("further").alias("component")), "labels")
     apart = candidates.select("a", "b").join(best.hint("merge"), ["a", "b"], "left_anti")
     apart = scratch.materialize(_labelled(_labelled(apart, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b"), "apart")
-    labels = components(links.unionByName(confirm(apart, sets, percent)))
+    more_links = confirm(apart, sets, percent)
+    labels = components(links.unionByName(more_links))
+    scratch.drop(links, more_links, best, apart)
     large = members.filter(F.col("size") > SMALL).select("bucket", "key")
     tried = candidates.select("a", "b")
     for seed in range(1, ROUNDS + 1):
@@ -269,7 +271,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             break
         tried = tried.unionByName(more)
         labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    scratch.drop(sets)
+    scratch.drop(sets, members, candidates, classes)
     labels = components(copies.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = sketched.select("key", "n_shingles").join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left")
     named = named.select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))

@@ -43,17 +43,17 @@ def materialize(df: DataFrame, name: str, **options: object) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    return made
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize`."""
-    jvm = df.sparkSession.sparkContext._jvm
-    hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/tideclock/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(hadoop).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`materialize` that no later plan reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
