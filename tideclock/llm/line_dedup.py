@@ -151,6 +151,8 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     leaders = _leaders(suspects)
     scratch.drop(suspects)
     judged = firsts.select("h1", "h2", "first", "n").join(leaders.hint("merge"), ["h1", "h2"], "left").filter((F.col("n") > 1) | F.col("lead").isNotNull())
+    judged = scratch.materialize(judged.drop("n"), "judged")  # so that both sides of the next join are dealt anew and a hot line can be split
+    scratch.drop(firsts, leaders)
     found = seen.select("key", "th", "line_no", "h1", "h2").join(judged.hint("merge"), ["h1", "h2"])
     again = (F.col("first") != place).alias("again")
     found = found.select("key", "th", "line_no", "first", "lead", again).filter(F.col("again") | F.col("lead").isNotNull())
