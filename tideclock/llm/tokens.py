@@ -8,6 +8,7 @@ new words to the tokenizer.
 
 from __future__ import annotations
 
+from itertools import chain
 import json
 import os
 import re
@@ -93,17 +94,29 @@ class Encoder:
             return
         self.words.new = []
         got: list = [None] * len(new)
-        rare, pieces = [], self.pieces
+        rare, pieces, tokenize = [], self.pieces, self.model.tokenize
         for i, word in enumerate(new):
-            if not _SIMPLE(word):
+            if word.isascii():
+                if word.isalpha():  # a piece by itself
+                    got[i] = [t.id for t in tokenize(word)]
+                    continue
+                if not word.isprintable():
+                    rare.append(i)
+                    continue
+            elif not _SIMPLE(word):
                 rare.append(i)
                 continue
             ids = []
             for piece in _SPLIT(word.lower()):
                 known_ids = pieces.get(piece)
                 if known_ids is None:
-                    letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-                    known_ids = pieces[piece] = [t.id for t in self.model.tokenize(letters)]
+                    n = self.words.get(piece, known)
+                    if n < known:
+                        known_ids = self.ids[self.starts[n] : self.starts[n] + self.lengths[n]].tolist()
+                    else:
+                        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+                        known_ids = [t.id for t in tokenize(letters)]
+                    pieces[piece] = known_ids
                 ids += known_ids
             got[i] = ids
         for i, x in zip(rare, self.tokenizer.encode_batch_fast([new[i] for i in rare], add_special_tokens=False), strict=True):
@@ -115,7 +128,7 @@ class Encoder:
         while known + len(new) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), dtype=np.uint32, count=total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=total)
         self.lengths[known : known + len(new)] = lengths
         self.starts[known : known + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.used += total
@@ -136,7 +149,7 @@ class Encoder:
             self._forget()
         split = pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
         numbered = split.flatten().dictionary_encode()
-        known = numbered.dictionary.to_pylist()
+        known = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
         numbers = np.fromiter(map(self.words.__getitem__, known), dtype=np.int64, count=len(known))[numbered.indices.to_numpy()]
         self._learn()
         lengths = self.lengths[numbers]
