@@ -22,8 +22,10 @@ from tideclock.llm import scratch, tokens
 
 MAX_TOKENS = 4096
 OPEN_BINS = 256
-#: Bins left open that one second-round task takes.
-SECOND_ROUND_BINS = 16_384
+#: Bins left open that one second-round task takes, and its own open bins: so many that
+#: the long pieces, which come first, need not close before the short ones fill them.
+SECOND_ROUND_BINS = 4096
+SECOND_OPEN_BINS = 2 * SECOND_ROUND_BINS
 
 PIECE = "key {key}, piece int, start bigint, length bigint, ids binary"
 PLACED = PIECE + ", sequence_id bigint, offset bigint, closed boolean"
@@ -153,5 +155,5 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     open_rows = placed.filter(~F.col("closed")).drop("closed")
     tasks = 1 + open_rows.agg(F.countDistinct("sequence_id")).first()[0] // SECOND_ROUND_BINS
     again = open_rows.drop("sequence_id", "offset").coalesce(tasks).sortWithinPartitions(F.col("length").desc(), "key", "piece")
-    second = again.mapInArrow(_second_round(size, open_bins), PLACED.format(key=kind))
+    second = again.mapInArrow(_second_round(size, SECOND_OPEN_BINS), PLACED.format(key=kind))
     return placed.filter(F.col("closed")).unionByName(second).drop("closed").withColumnRenamed("key", key)
