@@ -57,7 +57,8 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.split_items(read(spark, sf_dir, "benchmark"))
-    return decontaminate.leaks(read(spark, sf_dir, "documents"), items)
+    found = decontaminate.leaks(read(spark, sf_dir, "documents"), items)
+    return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,3 +214,31 @@ SELECT o.doc_id, CAST(o.line_no AS INT) AS line_no,
 FROM o JOIN f USING (line) LEFT JOIN near ON late = o.line
 WHERE (o.doc_id, o.line_no) <> (f.doc_id, f.line_no) OR kd IS NOT NULL
 """
+
+_WORDS = r"""regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x20.,;:!?"''()\[\]{{}}]+')"""
+_GRAMS = "list_distinct(list_transform(range(0, len({0}) - {1} + 1), lambda x: array_to_string(list_slice({0}, x + 1, x + {1}), ' ')))"
+_SHARE = "CASE WHEN len({0}) = 0 THEN 0 ELSE len(list_intersect(" + _GRAMS.format("{0}", "least(5, len({0}))") + ", " + _GRAMS.format("run", "least(5, len({0}))") + ")) / len(" + _GRAMS.format("{0}", "least(5, len({0}))") + ") END"
+
+ORACLE["op9_benchmark_decontamination"] = rf"""
+WITH b AS (
+  SELECT item_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '(?s)^(.*[.!?])\s+(\S.*)$', 1) AS q1, regexp_extract(coalesce(text, ''), '(?s)^(.*[.!?])\s+(\S.*)$', 2) AS a1 FROM benchmark
+), it AS MATERIALIZED (
+  SELECT * FROM (SELECT item_id, {_WORDS.format("CASE WHEN a1 <> '' THEN q1 ELSE text END")} AS q, {_WORDS.format("a1")} AS a FROM b) WHERE len(q) + len(a) > 0
+), tf AS (SELECT item_id, t, count(*) AS f FROM (SELECT item_id, unnest(list_concat(q, a)) AS t FROM it) GROUP BY ALL
+), df AS (SELECT t, count(*) AS d FROM tf GROUP BY t
+), s AS MATERIALIZED (SELECT avg(len(q) + len(a)) AS mean, count(*) AS n, greatest(64, max(len(q) + len(a))) AS half FROM it
+), wt AS (
+  SELECT item_id, t, ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * (len(q) + len(a)) / mean)) AS w FROM tf JOIN df USING (t) JOIN it USING (item_id), s
+), nw AS MATERIALIZED (SELECT item_id, t, w / sum(w) OVER (PARTITION BY item_id) AS w FROM wt
+), d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), p AS MATERIALIZED (
+  SELECT doc_id, k, list_slice(w, k * half + 1, (k + 2) * half) AS run
+  FROM (SELECT doc_id, w, half, unnest(range(0, greatest(0, (len(w) - 1) // half - 1) + 1)) AS k FROM d, s WHERE len(w) > 0)
+), dt AS (SELECT DISTINCT doc_id, k, unnest(run) AS t FROM p
+), sc AS (SELECT doc_id, k, item_id, sum(w) AS score FROM dt JOIN nw USING (t) GROUP BY ALL HAVING sum(w) >= 0.4
+), ov AS (
+  SELECT doc_id, item_id, score, len(q) AS nq, {_SHARE.format("q")} AS qo, {_SHARE.format("a")} AS ao FROM sc JOIN p USING (doc_id, k) JOIN it USING (item_id)
+)
+SELECT doc_id, item_id, round(max(score), 6) AS score, round(max(qo), 6) AS question_overlap, round(max(ao), 6) AS answer_overlap
+FROM ov WHERE CASE WHEN nq > 0 THEN qo ELSE ao END >= 0.5 GROUP BY ALL
+"""
