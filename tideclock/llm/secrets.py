@@ -82,10 +82,9 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None, key: str, text: s
     if ledger is not None:
         seen = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob")
         stand_ins = stand_ins.join(seen, "blob", "left_anti")
-    texts = versions.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chosen = texts.join(stand_ins.hint("shuffle_hash"), "key")
-    # A key with several versions brings all its texts; only the one that was asked for is scanned.
-    chosen = chosen.filter(blob_id(F.col("text")) == F.col("blob")).select("blob", "text")
+    # A key may have many versions: the text that is meant is met by key and blob.
+    texts = versions.select(F.col(key).alias("key"), blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chosen = texts.join(stand_ins.hint("shuffle_hash"), ["key", "blob"]).select("blob", "text")
     return chosen.mapInArrow(_scan, LEDGER)
 
 
