@@ -7,9 +7,10 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from tideclock.operators import checkpoint as K
-from tideclock.plans import derived, pipeline as P
+from tideclock.operators import checkpoint as K, contracts
+from tideclock.plans import derived, pipeline as P, scenarios, views
 from tideclock.plans.policy import Policy, ReplayError
+from tideclock.plans.snapshot import evaluate
 from tideclock.sources import tables as T
 from tideclock.streaming import replay_stream as RS
 
@@ -145,6 +146,23 @@ def test_batch_stored_twice_is_stored_once(spark, data, tmp_path):
     assert T.same_rows(RS.stored_log(spark, log.schema, str(tmp_path / "log")), log)
 
 
+def test_generated_files_read_back(spark, tmp_path):
+    scenarios.generate(spark, str(tmp_path))
+    catalog = T.read_csv(spark, str(tmp_path / "cases"), contracts.CATALOG)
+    log = T.read_csv(spark, str(tmp_path / "events"), contracts.LOG)
+    assert (catalog.count(), log.count()) == (108, 540)
+    contracts.validate(catalog, log)
+    assert spark.read.json(str(tmp_path / "scenario_truth")).count() == 12
+
+
+def test_views(spark, data):
+    catalog, log = derived.catalog(spark, data), derived.log(spark, data)
+    names = views.register_replay(catalog, log, evaluate(catalog, log, derived.POLICY))
+    assert len(names) == 10 and spark.sql("SELECT count(*) FROM case_clocks WHERE state = 'EMPTY'").first()[0] == 1
+    views.register_checkpoint(derived.cases(spark, data), derived.stages(spark, data))
+    assert views.read_mart(spark, "quality_results").count() == 12
+
+
 def test_arguments(tmp_path):
     with pytest.raises(SystemExit):
         P.main(["--output", str(tmp_path), "--as-of", "2026-02-01T00:00:00Z", "--verify-only"])

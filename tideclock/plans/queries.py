@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideclock.functions import scalars
 from tideclock.operators import checkpoint as K, clocks as C, contracts, replay as R, scores as S
-from tideclock.plans import derived as D, gates as G, scenarios
+from tideclock.plans import derived as D, gates as G, scenarios, views
 from tideclock.plans.snapshot import Results, baseline, evaluate, parameters
 from tideclock.sources import tables
 
@@ -195,6 +195,19 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(*(F.nullif(F.col(c), F.lit("")).try_cast(t).alias(c) for c, t in out.dtypes))
 
 
+def mart_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views.register_checkpoint(D.cases(spark, sf_dir), D.stages(spark, sf_dir))
+    return views.read_mart(spark, "mart_process_clock_summary", "decision_period")
+
+
+def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages without a case, and cases without stages, by quarter of the key."""
+    cases, stages = D.cases(spark, sf_dir), D.stages(spark, sf_dir)
+    left = views.orphans(stages, cases, "case_id").select("case_id", F.lit("no case").alias("problem"))
+    right = views.orphans(cases, stages, "case_id").select("case_id", F.lit("no stages").alias("problem"))
+    return left.unionByName(right)
+
+
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideclock.streaming.replay_stream import replay_in_batches
 
@@ -207,6 +220,6 @@ QUERIES = {
         asof_delivery_filter, ingest_actions, action_histogram, watermark_audit, snapshot_metadata, effective_versions, live_events,
         stage_counts, case_states, case_clocks, issue_flags, stage_durations, clock_partition_check, robust_profiles, duration_scores,
         review_queue, queue_by_reason, contract_conflicts, param_cross_join, checkpoint_summary, checkpoint_quality, process_clock_mart,
-        clock_audit, key_reconciliation, checkpoint_contract, instants, gate_suite, source_fingerprint, scenario_queue, csv_roundtrip, stream_replay,
+        clock_audit, mart_scan, orphan_lines, key_reconciliation, checkpoint_contract, instants, gate_suite, source_fingerprint, scenario_queue, csv_roundtrip, stream_replay,
     )
 }

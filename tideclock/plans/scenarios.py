@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from tideclock.functions.scalars import instant_text, utc
 from tideclock.plans.policy import STAGES, Policy, instant
+from tideclock.sources.tables import write_csv
 
 H = 3600
 START = instant("2026-01-20T00:00:00Z")
@@ -101,3 +102,13 @@ def synthetic_tables(spark: SparkSession, policy: Policy | None = None) -> tuple
     catalog = base.unionByName(later).unionByName(named).select("case_id", "service_group", instant_text(F.col("registered")).alias("registered_at"), marker)
     log = rows.select("delivery_id", F.col("delivery_seq").cast("string").alias("delivery_seq"), "event_id", F.col("revision").cast("string").alias("revision"), "case_id", "event_type", "operation", F.coalesce(instant_text(F.col("event")), F.lit("")).alias("event_time"), instant_text(F.col("recorded")).alias("recorded_at"), marker)
     return catalog, log
+
+
+def generate(spark: SparkSession, folder: str, policy: Policy | None = None) -> None:
+    """Write the synthetic catalog and log as CSV, and what is expected of the scenarios as JSON lines."""
+    catalog, log = synthetic_tables(spark, policy)
+    write_csv(catalog, f"{folder}/cases", ["case_id"])
+    write_csv(log, f"{folder}/events", ["delivery_seq", "delivery_id"])
+    truth = [(k, state, sorted(reasons)) for k, (state, reasons) in EXPECTED.items()]
+    frame = spark.createDataFrame(truth, "case_id string, expected_state string, expected_reasons array<string>")
+    frame.coalesce(1).write.mode("overwrite").json(f"{folder}/scenario_truth")
