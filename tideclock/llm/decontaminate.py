@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideclock.llm import scratch
+from tideclock.llm import scratch, worker
 
 K1, B = 1.2, 0.75
 #: Share of its own score that an item must reach in a passage.
@@ -167,6 +167,7 @@ def _share(wanted: set[bytes], full: set[bytes], run: list[bytes]) -> float:
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.claim("decontaminate")
         index = pickle.loads(shared.value)
         for batch in batches:
             out = []
@@ -230,6 +231,7 @@ def _leaky(shared):
 
     def run(texts: pd.Series) -> pd.Series:
         global _opened
+        worker.claim("decontaminate", _close)
         if _opened[0] is not shared:
             _opened = (shared, pickle.loads(shared.value))
         return pd.Series([bool(_opened[1].search(None if t is None else bytes(t))) for t in texts], dtype=bool)
@@ -239,3 +241,8 @@ def _leaky(shared):
 
 
 _opened: tuple = (None, None)
+
+
+def _close() -> None:
+    global _opened
+    _opened = (None, None)

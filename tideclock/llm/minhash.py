@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, functions as F
 import xxhash
 
-from tideclock.llm import scratch
+from tideclock.llm import scratch, worker
 
 BANDS, ROWS = 20, 4
 #: Buckets of up to so many representatives are compared in full.
@@ -28,7 +28,7 @@ SMALL = 8
 #: Rounds of new pivots over the larger buckets; it ends before when a round links nothing.
 ROUNDS = 4
 SALTS = 16
-_MEMORY = 400_000
+_MEMORY = 200_000
 
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
@@ -60,6 +60,7 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     words = text.lower().split() if text else []  # of bytes: ASCII letters and blanks only
     if not words:
         return np.zeros(0, dtype=np.uint64)
+    worker.claim("minhash", _hashes.clear)
     if len(_hashes) > _MEMORY:
         _hashes.clear()
     look = _hashes.__getitem__

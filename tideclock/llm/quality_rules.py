@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tideclock.llm import scratch
+from tideclock.llm import scratch, worker
 
 #: The symbols that count.
 SYMBOLS = b"#*$%&|<>"
@@ -74,6 +74,7 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int]:
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.claim("rules")
     for batch in batches:
         rows = [measure(x.as_buffer().to_pybytes() if x.is_valid else None) for x in batch.column(2)]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -85,6 +86,7 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _measures(text: pd.Series) -> pd.DataFrame:
     """The five measures of each text as a struct."""
+    worker.claim("rules")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return pd.DataFrame([measure(x if x is None else bytes(x)) for x in text], columns=names, dtype="int64")
 

@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tideclock.llm import worker
+
 END_ID = 1
 #: Words, and pieces of words, that a worker remembers before it starts afresh.
-MEMORY_WORDS = 700_000
+MEMORY_WORDS = 400_000
 
 # Fixed values of the public vocabulary: how its file normalizes and splits texts.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -82,7 +84,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.words = _Words()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 16, dtype=np.int64)
@@ -115,8 +117,7 @@ class Encoder:
                         known_ids = self.ids[self.starts[n] : self.starts[n] + self.lengths[n]].tolist()
                     else:
                         letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-                        known_ids = [t.id for t in tokenize(letters)]
-                    pieces[piece] = known_ids
+                        known_ids = pieces[piece] = tuple(t.id for t in tokenize(letters))
                 ids += known_ids
             got[i] = ids
         for i, x in zip(rare, self.tokenizer.encode_batch_fast([new[i] for i in rare], add_special_tokens=False), strict=True):
@@ -145,7 +146,7 @@ class Encoder:
         if not self.by_word:
             got = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array([len(ids) for ids in got], dtype=np.int64)
-        if len(self.words) > MEMORY_WORDS:
+        if len(self.words) + len(self.pieces) > MEMORY_WORDS:
             self._forget()
         split = pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
         numbered = split.flatten().dictionary_encode()
@@ -164,6 +165,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """This process's encoder for a tokenizer file."""
+    worker.claim("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
