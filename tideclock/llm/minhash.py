@@ -25,8 +25,8 @@ from tideclock.llm import scratch, worker
 BANDS, ROWS = 20, 4
 #: Buckets of up to so many representatives are compared in full.
 SMALL = 8
-#: Rounds of new pivots over the larger buckets; it ends before when a round links nothing.
-ROUNDS = 4
+#: Rounds over the larger buckets, each with so many new pivots; it ends before when a round links nothing.
+ROUNDS, PIVOTS = 2, 4
 SALTS = 16
 _MEMORY = 200_000
 
@@ -216,11 +216,14 @@ def first_pairs(members: DataFrame) -> DataFrame:
     return _star(members.filter(F.col("size") > SMALL)).unionByName(few).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
 
 
-def _open_pairs(large: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """(a, b) across components: members of buckets that still hold several with a pivot drawn anew."""
-    owned = _labelled(large, labels, "key", "component").withColumn("rank", F.xxhash64("key", F.lit(seed)))
-    split = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("key", "component"), "rank").alias("p")).filter("low <> high")
-    met = owned.join(split.select("bucket", "p").hint("merge"), "bucket").filter(F.col("component") != F.col("p.component"))
+def _open_pairs(large: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b) across components: members of buckets that still hold several with pivots drawn anew."""
+    owned = _labelled(large, labels, "key", "component")
+    seeds = range(PIVOTS * turn, PIVOTS * (turn + 1))
+    pivots = [F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(seed))).alias(f"p{seed}") for seed in seeds]
+    split = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *pivots).filter("low <> high")
+    split = split.select("bucket", F.array_distinct(F.array(*(f"p{seed}" for seed in seeds))).alias("pivots"))
+    met = owned.join(split.hint("merge"), "bucket").select("key", "component", F.explode("pivots").alias("p")).filter(F.col("component") != F.col("p.component"))
     return _star(met.select("key", F.col("p.key").alias("pivot"))).distinct()
 
 
@@ -262,18 +265,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     scratch.drop(links, more_links, best, apart)
     large = members.filter(F.col("size") > SMALL).select("bucket", "key")
     tried = candidates.select("a", "b")
-    for seed in range(1, ROUNDS + 1):
-        more = _open_pairs(large, labels, seed).join(tried.hint("merge"), ["a", "b"], "left_anti")
-        more = scratch.materialize(more, "more")
+    as_edges = lambda known: known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    edges = as_edges(labels)
+    for turn in range(1, ROUNDS + 1):
+        labels = labels if turn == 1 else components(edges)
+        more = scratch.materialize(_open_pairs(large, labels, turn).join(tried.hint("merge"), ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
             break
         found = confirm(more, sets, percent)
         if found.isEmpty():
             break
-        tried = tried.unionByName(more)
-        labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        tried, edges = tried.unionByName(more), as_edges(labels).unionByName(found)
     scratch.drop(sets, members, candidates, classes)
-    labels = components(copies.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    labels = components(copies.unionByName(edges))
     named = sketched.select("key", "n_shingles").join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left")
     named = named.select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
     return named.withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))).withColumnRenamed("key", key)
