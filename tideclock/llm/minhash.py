@@ -24,9 +24,9 @@ from tideclock.llm import scratch, worker
 
 BANDS, ROWS = 20, 4
 #: Buckets of up to so many representatives are compared in full.
-SMALL = 48
+SMALL = 16
 #: Rounds over the larger buckets, each with so many new pivots; it ends before when a round links nothing.
-ROUNDS, PIVOTS = 4, 12
+ROUNDS, PIVOTS = 4, 4
 SALTS = 16
 _MEMORY = 200_000
 
