@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
-from tests.llm import test_decontaminate, test_line_dedup, test_minhash, test_quality_rules
+from tests.llm import test_decontaminate as plain_search, test_line_dedup as plain_lines, test_minhash as plain_near, test_quality_rules as plain_rules
 from tideclock.llm import decontaminate, quality_rules as Q, tokens
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,7 +38,7 @@ def test_quality_rules(stages):
     hosts = defaultdict(list)
     fails = {}
     for d, text, _, source, _ in before:
-        n_words, _, n_symbols, _, n_repeat = test_quality_rules.plain(text)
+        n_words, _, n_symbols, _, n_repeat = plain_rules.plain(text)
         fails[d] = n_words < 50 or 100 * n_repeat > 50 * n_words or 100 * n_symbols > Q.MAX_SYMBOL_PERCENT * n_words
         hosts[source].append(fails[d])
     rates = np.array([np.mean(x) for x in hosts.values()])
@@ -51,7 +51,7 @@ def test_quality_rules(stages):
 
 def test_line_dedup(stages):
     _, before, after = stages[1]
-    gone = {(d, no) for d, no, *_ in test_line_dedup.brute([r[:2] for r in before])}
+    gone = {(d, no) for d, no, *_ in plain_lines.brute([r[:2] for r in before])}
     want = []
     for d, text, lang, source, n in before:
         lines = text.split("\n")
@@ -62,7 +62,7 @@ def test_line_dedup(stages):
 
 def test_near_dedup(stages):
     _, before, after = stages[2]
-    kept = {r[0] for r in test_minhash.brute([r[:2] for r in before], 5, 80) if r[3]}
+    kept = {r[0] for r in plain_near.brute([r[:2] for r in before], 5, 80) if r[3]}
     assert sorted(after) == sorted(r for r in before if r[0] in kept)
 
 
@@ -70,7 +70,7 @@ def test_decontamination(stages, spark, data):
     _, before, after = stages[3]
     items = [tuple(r) for r in decontaminate.split_items(spark.read.parquet(f"{data}/benchmark.parquet")).collect()]
     index = decontaminate.Index(items)
-    leaky = {r[0] for r in before if test_decontaminate.brute(index, items, r[1])}
+    leaky = {r[0] for r in before if plain_search.brute(index, items, r[1])}
     assert leaky and sorted(after) == sorted(r for r in before if r[0] not in leaky)
 
 
