@@ -1,8 +1,10 @@
 """Near-duplicates against all-pairs brute force."""
 
+from collections import Counter
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from tideclock.llm import minhash
@@ -65,6 +67,65 @@ def test_against_brute_force(spark, width, percent, groups, per):
     assert ours(spark, docs, width, percent) == brute(docs, width, percent)
 
 
+def edited_copies(seed, n, length, edits):
+    """Copies of one text, each with so many words changed."""
+    rng = random.Random(seed)
+    base, docs = [f"w{i}" for i in range(length)], []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(length), edits):
+            copy[at] = f"n{rng.randrange(10**9)}"
+        docs.append((i, " ".join(copy)))
+    return docs
+
+
+def brute_large(docs, width, percent):
+    """As brute, by one product of the matrix of shingles that two documents or more hold."""
+    found = [sets(t, width) for _, t in docs]
+    counts = Counter(x for s in found for x in s)
+    number = {x: i for i, x in enumerate(x for x, n in counts.items() if n > 1)}
+    held = np.zeros((len(docs), len(number)), dtype=np.float32)
+    for row, s in enumerate(found):
+        held[row, [number[x] for x in s if x in number]] = 1
+    both, sizes = held @ held.T, np.array([len(s) for s in found])
+    linked = 100 * both >= percent * (sizes[:, None] + sizes - both)
+    top = np.full(len(docs), -1)
+    for start in range(len(docs)):
+        todo = [start] if top[start] < 0 else []
+        while todo:
+            x = todo.pop()
+            top[x] = start
+            new = np.flatnonzero(linked[x] & (top < 0))
+            top[new] = start
+            todo += new.tolist()
+    return [(k, len(found[k]), int(top[k]), int(top[k]) == k) for k, _ in docs]
+
+
+def test_large_group_just_under_the_threshold(spark):
+    docs = edited_copies(1, 1500, 400, 7)
+    want = brute_large(docs, 3, 85)
+    assert brute_large(docs[:60], 3, 85) == brute(docs[:60], 3, 85)
+    assert 1 < sum(r[3] for r in want) < 1500 and ours(spark, docs, 3, 85) == want
+
+
+def test_large_group_in_several_blocks_and_by_bucket(spark, monkeypatch):
+    docs = edited_copies(2, 200, 150, 3) + [(200 + i, t) for i, (_, t) in enumerate(edited_copies(3, 150, 90, 2))]
+    want = brute_large(docs, 3, 85)
+    monkeypatch.setattr(minhash, "BLOCK", 30)
+    assert ours(spark, docs, 3, 85) == want
+    by_bucket = lambda opened: opened.select(F.col("bucket").alias("unit"), "key", "n_shingles", "component").distinct()
+    monkeypatch.setattr(minhash, "_units", lambda opened: minhash.scratch.materialize(by_bucket(opened), "units"))
+    assert ours(spark, docs, 3, 85) == want
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([rng.integers(0, 50, 30), rng.integers(0, 5000, n)]).astype(np.uint64)) for n in (0, 9, 700, 3000, 20) * 9]
+    got = minhash.shared_counts(sets[:20], sets[20:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets[:20]]
+    assert not minhash.shared_counts([np.array([1], np.uint64)], [np.array([2], np.uint64)]).any()
+
+
 def test_chain_of_copies_is_one_component(spark):
     words = [f"v{i}" for i in range(140)]
     docs = [(i, " ".join(words[2 * i : 2 * i + 80])) for i in range(25)]  # neighbours are similar, ends are not

@@ -7,8 +7,9 @@ the full shingle sets.
 
 Documents with equal sets are one class and are compared once, through a
 representative. What counts is which documents hang together, so within a large
-bucket no pairs are listed: members are compared to a pivot, and later rounds,
-each with other pivots, compare only members that are not yet connected to it.
+bucket no pairs are listed: members are compared to a pivot, and what that does
+not connect is compared in full, in blocks of members whose shared shingles are
+counted by matrix products.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from tideclock.llm import scratch, worker
 BANDS, ROWS = 20, 4
 #: Buckets of up to so many representatives are compared in full.
 SMALL = 16
-#: Rounds over the larger buckets, each with so many new pivots; it ends before when a round links nothing.
-ROUNDS, PIVOTS = 4, 4
+#: Members and shingles of one block of a larger bucket; two blocks meet in one group of rows.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: A shingle is counted by matrix product if it is in at least one of so many pairs of a block, else pair by pair.
+DENSE = 200
 SALTS = 16
 _MEMORY = 200_000
 
@@ -198,7 +201,7 @@ def _labelled(table: DataFrame, labels: DataFrame, key: str, name: str) -> DataF
 
 
 def bucket_members(bands: DataFrame) -> DataFrame:
-    """(bucket, key, size, pivot) of all buckets with more than one member."""
+    """(bucket, key, n_shingles, size, pivot) of all buckets with more than one member."""
     ranked = bands.withColumn("rank", F.xxhash64("key"))
     buckets = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by("key", "rank").alias("pivot")).filter("size > 1")
     return scratch.materialize(bands.join(buckets.hint("merge"), "bucket"), "members")
@@ -216,15 +219,135 @@ def first_pairs(members: DataFrame) -> DataFrame:
     return _star(members.filter(F.col("size") > SMALL)).unionByName(few).groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
 
 
-def _open_pairs(large: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b) across components: members of buckets that still hold several with pivots drawn anew."""
-    owned = _labelled(large, labels, "key", "component")
-    seeds = range(PIVOTS * turn, PIVOTS * (turn + 1))
-    pivots = [F.min_by(F.struct("key", "component"), F.xxhash64("key", F.lit(seed))).alias(f"p{seed}") for seed in seeds]
-    split = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *pivots).filter("low <> high")
-    split = split.select("bucket", F.array_distinct(F.array(*(f"p{seed}" for seed in seeds))).alias("pivots"))
-    met = owned.join(split.hint("merge"), "bucket").select("key", "component", F.explode("pivots").alias("p")).filter(F.col("component") != F.col("p.component"))
-    return _star(met.select("key", F.col("p.key").alias("pivot"))).distinct()
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, bucket, n_shingles, size, pivot, component) of the larger buckets whose members are in several components."""
+    owned = _labelled(members.filter(F.col("size") > SMALL), labels, "key", "component")
+    split = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    return scratch.materialize(owned.join(split.hint("merge"), "bucket", "left_semi"), "open")
+
+
+def _units(opened: DataFrame) -> DataFrame:
+    """(unit, key, n_shingles, component): each pair of an open bucket meets in a unit.
+
+    Buckets that hang together are a family. A family is one unit if that makes
+    no more pairs than its buckets do one by one; else each bucket is a unit.
+    """
+    families = components(_star(opened))
+    known = _labelled(opened, families, "key", "family")
+    costs = known.groupBy("family", "key").agg(F.sum("size").alias("pairs")).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("pairs").alias("pairs"))
+    costs = scratch.materialize(costs.select("family", (F.col("n") * F.col("n") <= F.col("pairs")).alias("whole")), "families")
+    unit = F.when(F.col("whole"), F.xxhash64(F.lit("family"), "family")).otherwise(F.col("bucket"))
+    return scratch.materialize(known.join(costs.hint("merge"), "family").select(unit.alias("unit"), "key", "n_shingles", "component").distinct(), "units")
+
+
+def _block_pairs(units: DataFrame) -> DataFrame:
+    """(unit, i, j, salt, key, component): the members of blocks i and j of a unit, for all pairs of blocks that can hold a new link.
+
+    The largest component has blocks of its own, which do not meet each other.
+    """
+    counts = units.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    totals = counts.groupBy("unit").agg(F.max(F.struct("n", "w", "component")).alias("home"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
+    others, own = blocks(F.col("n") - F.col("home.n"), F.col("w") - F.col("home.w")), blocks(F.col("home.n"), F.col("home.w"))
+    totals = scratch.materialize(totals.filter(F.col("n") > F.col("home.n")).select("unit", F.col("home.component").alias("home"), others.alias("others"), own.alias("own")), "totals")
+    dealt = units.join(totals.hint("merge"), "unit")
+    at = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+    dealt = dealt.withColumn("salt", F.when(F.col("component") == F.col("home"), F.col("others") + at(F.col("own"))).otherwise(at(F.col("others"))))
+    last = F.when(F.col("salt") < F.col("others"), F.col("others") + F.col("own")).otherwise(F.col("others")) - 1
+    met = dealt.select("unit", "salt", "key", "component", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return met.select("unit", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "key", "component")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of shingles that each set on the left shares with each on the right."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    entries = []
+    x, y = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(x, y)
+    if not len(common):
+        return out
+    for flat, sets in ((x, left), (y, right)):
+        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+        hit = common[at] == flat
+        row, column = np.repeat(np.arange(len(sets)), [len(z) for z in sets])[hit], at[hit]
+        order = np.argsort(column, kind="stable")
+        entries.append((row[order], column[order]))
+    (ra, ca), (rb, cb) = entries
+    na, nb = np.bincount(ca, minlength=len(common)), np.bincount(cb, minlength=len(common))
+    dense = na * nb * DENSE >= out.size
+    number = np.cumsum(dense) - 1
+    da, db = dense[ca], dense[cb]
+    for low in range(0, int(dense.sum()), 2048):
+        sides = []
+        for row, column, n in ((ra[da], number[ca[da]], len(left)), (rb[db], number[cb[db]], len(right))):
+            a, b = np.searchsorted(column, [low, low + 2048])
+            m = np.zeros((n, 2048), dtype=np.float32)
+            m[row[a:b], column[a:b] - low] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    starts = np.cumsum(nb) - nb
+    ra, ca = ra[~da], ca[~da]
+    ends = np.cumsum(nb[ca])
+    low = 0
+    while low < len(ra):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + 2_000_000, side="right")))
+        n = nb[ca[low:high]]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        met = np.repeat(ra[low:high], n) * len(right) + rb[np.repeat(starts[ca[low:high]], n) + within]
+        out += np.bincount(met, minlength=out.size).reshape(out.shape)
+        low = high
+    return out
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the symmetric matrix ``linked`` connects, no more than it takes."""
+    fresh, out = np.ones(len(linked), dtype=bool), []
+    for start in range(len(linked)):
+        if fresh[start]:
+            fresh[start] = False
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                new = np.flatnonzero(linked[x] & fresh).tolist()
+                fresh[new] = False
+                out += [(x, y) for y in new]
+                todo += new
+    return out
+
+
+def _compare(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        worker.claim("minhash", _hashes.clear)
+        named = rows.column("component").combine_chunks().dictionary_encode()
+        names, codes = named.dictionary, named.indices.to_numpy()
+        edges = []
+        if len(names) > 1:
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.column("found")]
+            i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+            salt = rows.column("salt").to_numpy()
+            a, b = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
+            if len(a) and len(b):
+                both = shared_counts([sets[x] for x in a], [sets[x] for x in b])
+                sizes = np.array([len(x) for x in sets])
+                p, q = np.nonzero(100 * both >= percent * (sizes[a][:, None] + sizes[b] - both))
+                linked = np.zeros((len(names), len(names)), dtype=bool)
+                linked[codes[a][p], codes[b][q]] = True
+                edges = _forest(linked | linked.T)
+        take = lambda side: names.take(pa.array([e[side] for e in edges], pa.int64()))
+        return pa.table({"a": take(0), "b": take(1)})
+
+    return run
+
+
+def block_links(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of components that a link joins, such that all links between members of an open bucket are told."""
+    kind = dict(sets.dtypes)["key"]
+    units = _units(opened)
+    full = _block_pairs(units).join(sets.hint("merge"), "key").select("unit", "i", "j", "salt", "component", "found")
+    found = scratch.materialize(full.groupBy("unit", "i", "j").applyInArrow(_compare(percent), f"a {kind}, b {kind}"), "joined")
+    scratch.drop(units)
+    return found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -240,7 +363,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sketched = scratch.materialize(sketch(source, width), "sketch")
     usable = sketched.filter(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
-    classes = usable.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = usable.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
     classes = scratch.materialize(classes, "classes")
     shared = classes.filter("copies > 1").select("digest", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = usable.select("key", "digest", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -248,7 +371,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     copies = scratch.materialize(copies, "copies")
 
     # Only representatives go into buckets: a copy is never compared.
-    members = bucket_members(classes.select(F.col("rep").alias("key"), F.explode("bands").alias("bucket")))
+    members = bucket_members(classes.select(F.col("rep").alias("key"), "n_shingles", F.explode("bands").alias("bucket")))
     candidates = scratch.materialize(first_pairs(members), "pairs")
     wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
     sets = full_sets(wanted, source.filter(F.col("key").isNotNull()), width)
@@ -263,19 +386,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     more_links = confirm(apart, sets, percent)
     labels = components(links.unionByName(more_links))
     scratch.drop(links, more_links, best, apart)
-    large = members.filter(F.col("size") > SMALL).select("bucket", "key")
-    tried = candidates.select("a", "b")
-    as_edges = lambda known: known.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    edges = as_edges(labels)
-    for turn in range(1, ROUNDS + 1):
-        labels = labels if turn == 1 else components(edges)
-        more = scratch.materialize(_open_pairs(large, labels, turn).join(tried.hint("merge"), ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            break
-        found = confirm(more, sets, percent)
-        if found.isEmpty():
-            break
-        tried, edges = tried.unionByName(more), as_edges(labels).unionByName(found)
+    edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    # A pair of a larger bucket that its pivot did not connect is compared, whatever the bucket's size.
+    opened = _open_members(members, labels)
+    if not opened.isEmpty():
+        edges = edges.unionByName(block_links(opened, sets, percent))
+    scratch.drop(opened)
     scratch.drop(sets, members, candidates, classes)
     labels = components(copies.unionByName(edges))
     named = sketched.select("key", "n_shingles").join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left")
