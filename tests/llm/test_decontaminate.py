@@ -98,6 +98,19 @@ def test_operator(spark, monkeypatch):
     assert set(whole) <= {(str(r["doc_id"]), r["item_id"]) for r in D.leaks(one, table).collect()}
 
 
+def test_several_indexes_score_as_one(spark, monkeypatch):
+    items, docs = world(11)
+    frame = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(docs)], SCHEMA)
+    table = spark.createDataFrame(items, "item_id bigint, question string, answer string")
+    index = D.Index(items)
+    want = sorted((i, k, *facts) for i, t in enumerate(docs) for k, facts in index.search(t.encode()).items())
+    monkeypatch.setattr(D, "SHARD_ITEMS", 15)
+    got = sorted(tuple(r) for r in D.leaks(frame, table).collect())
+    assert len(want) > 20 and [r[:2] for r in got] == [r[:2] for r in want] and np.allclose(got, want)
+    leaky = {r[0] for r in want}
+    assert sorted(r["doc_id"] for r in D.clean(frame, table).collect()) == [i for i in range(len(docs)) if i not in leaky]
+
+
 def test_split_items(spark):
     got = D.split_items(spark.createDataFrame([(1, "What is it? It is this."), (2, "One sentence."), (3, ""), (4, None)], "item_id bigint, text string"))
     assert [tuple(r) for r in got.orderBy("item_id").collect()] == [(1, "What is it?", "It is this."), (2, "One sentence.", None), (3, "", None), (4, None, None)]

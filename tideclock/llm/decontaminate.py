@@ -49,10 +49,32 @@ def shingles(of: list[bytes]) -> set[bytes]:
     return {b" ".join(of[i : i + n]) for i in range(len(of) - n + 1)} if n else set()
 
 
+class Statistics:
+    """What an item's score takes from the whole benchmark: items with words, their lengths, and how many hold each term."""
+
+    def __init__(self) -> None:
+        self.items = self.words = self.longest = 0
+        self.frequency: dict[bytes, int] = {}
+
+    def add(self, items: list[tuple[int | None, str | None, str | None]]) -> Statistics:
+        for _, question, answer in items:
+            of = words(question) + words(answer)
+            self.items += bool(of)
+            self.words += len(of)
+            self.longest = max(self.longest, len(of))
+            for w in set(of):
+                self.frequency[w] = self.frequency.get(w, 0) + 1
+        return self
+
+
 class Index:
-    """Impacts of all terms on all items, by block of items, with each term's most per block."""
+    """Impacts of all terms on all items, by block of items, with each term's most per block.
+
+    ``whole`` are the statistics of the benchmark that ``items`` are a part of; without it they are all of it.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None, str | None]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None, str | None]], whole: Statistics | None = None) -> None:
+        whole = whole or Statistics().add(items)
         made = []
         for item, question, answer in items:
             q, a = words(question), words(answer)
@@ -67,13 +89,11 @@ class Index:
                 counts[t] = counts.get(t, 0) + 1
             rows.append(counts)
         n = len(rows)
-        frequency = np.zeros(len(self.terms))
-        for counts in rows:
-            frequency[list(counts)] += 1
-        idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
+        frequency = np.array([whole.frequency[w] for w in self.terms], dtype=float)
+        idf = np.log1p((whole.items - frequency + 0.5) / (frequency + 0.5))
         lengths = np.array([sum(c.values()) for c in rows], dtype=float)
-        mean = lengths.mean() if n else 1.0
-        self.half = max(HALF, int(lengths.max()) if n else 0)
+        mean = whole.words / whole.items if whole.items else 1.0
+        self.half = max(HALF, whole.longest)
         weights = []
         for counts, length in zip(rows, lengths, strict=True):
             tf = np.array(list(counts.values()), dtype=float)
@@ -182,12 +202,24 @@ def _search(shared):
 
 
 def indexes(spark: SparkSession, items: DataFrame) -> Iterator[object]:
-    """Broadcast indexes of at most about SHARD_ITEMS items each; items without words are left out."""
+    """Broadcast indexes of at most about SHARD_ITEMS items each; items without words are left out.
+
+    All take their statistics from the whole benchmark, so parts score as one index does.
+    """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "question", "answer").filter(F.col("item_id").isNotNull()).dropDuplicates()
     shards = rows.count() // SHARD_ITEMS + 1
+
+    def part(shard: int) -> list[tuple]:
+        found = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).orderBy("item_id", "question", "answer")
+        return [tuple(r) for r in found.collect()]
+
+    whole = Statistics()
+    first = part(0)
+    whole.add(first)
+    for shard in range(1, shards):
+        whole.add(part(shard))
     for shard in range(shards):
-        part = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).orderBy("item_id", "question", "answer").collect()
-        yield spark.sparkContext.broadcast(pickle.dumps(Index([tuple(r) for r in part])))
+        yield spark.sparkContext.broadcast(pickle.dumps(Index(part(shard) if shard else first, whole)))
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
