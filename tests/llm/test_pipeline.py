@@ -66,6 +66,14 @@ def test_near_dedup(stages):
     assert sorted(after) == sorted(r for r in before if r[0] in kept)
 
 
+def test_near_dedup_of_a_large_group(spark, data):
+    docs = plain_near.edited_copies(1, 3000, 400, 6)
+    want = [r[0] for r in plain_near.brute_large(docs, 5, 80) if r[3]]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars int").repartition(4)
+    got = sorted(r["doc_id"] for r in P.near_dedup(spark, frame, data).select("doc_id").collect())
+    assert (len(got), len(want)) == (263, 263) and got == want
+
+
 def test_decontamination(stages, spark, data):
     _, before, after = stages[3]
     items = [tuple(r) for r in decontaminate.split_items(spark.read.parquet(f"{data}/benchmark.parquet")).collect()]
