@@ -111,6 +111,14 @@ def test_several_indexes_score_as_one(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in D.clean(frame, table).collect()) == [i for i in range(len(docs)) if i not in leaky]
 
 
+def test_items_without_id(spark):
+    text = "a question that has no number but words enough"
+    table = spark.createDataFrame([(None, text, None), (None, None, None), (1, "quite another thing to ask", "yes")], "item_id bigint, question string, answer string")
+    frame = spark.createDataFrame([(1, f"before {text} after", "a", "b"), (2, "nothing of that", "a", "b")], SCHEMA)
+    assert [(r["doc_id"], r["item_id"]) for r in D.leaks(frame, table).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in D.clean(frame, table).collect()] == [2]
+
+
 def test_split_items(spark):
     got = D.split_items(spark.createDataFrame([(1, "What is it? It is this."), (2, "One sentence."), (3, ""), (4, None)], "item_id bigint, text string"))
     assert [tuple(r) for r in got.orderBy("item_id").collect()] == [(1, "What is it?", "It is this."), (2, "One sentence.", None), (3, "", None), (4, None, None)]

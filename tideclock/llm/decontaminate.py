@@ -206,7 +206,7 @@ def indexes(spark: SparkSession, items: DataFrame) -> Iterator[object]:
 
     All take their statistics from the whole benchmark, so parts score as one index does.
     """
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "question", "answer").filter(F.col("item_id").isNotNull()).dropDuplicates()
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "question", "answer").dropDuplicates()
     shards = rows.count() // SHARD_ITEMS + 1
 
     def part(shard: int) -> list[tuple]:
@@ -226,7 +226,9 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """One row per row of ``docs`` and leaked item: key, item_id, score, question_overlap, answer_overlap.
 
     ``items``: item_id, question, answer (nullable). An item without a question
-    is judged by its answer. Null and empty texts have no leaks; repeated rows
+    is judged by its answer. Items with a null id are searched like others and
+    give rows with a null ``item_id``; all leaks of one id, null
+    included, in one row of ``docs`` are one row. Null and empty texts have no leaks; repeated rows
     have theirs each; a null key is carried; an empty table on either side gives
     no rows. Other columns are not read.
     """
