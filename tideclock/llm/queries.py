@@ -58,7 +58,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.split_items(read(spark, sf_dir, "benchmark"))
     found = decontaminate.leaks(read(spark, sf_dir, "documents"), items)
-    return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
+    return found.select("doc_id", "item_id", *(F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")), "leaked")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,8 +237,9 @@ WITH b AS (
 ), dt AS (SELECT DISTINCT doc_id, k, unnest(run) AS t FROM p
 ), sc AS (SELECT doc_id, k, item_id, sum(w) AS score FROM dt JOIN nw USING (t) GROUP BY ALL HAVING sum(w) >= 0.4
 ), ov AS (
-  SELECT doc_id, item_id, score, len(q) AS nq, {_SHARE.format("q")} AS qo, {_SHARE.format("a")} AS ao FROM sc JOIN p USING (doc_id, k) JOIN it USING (item_id)
+  SELECT doc_id, item_id, score, len(q) AS nq, len(a) AS na, {_SHARE.format("q")} AS qo, {_SHARE.format("a")} AS ao FROM sc JOIN p USING (doc_id, k) JOIN it USING (item_id)
 )
-SELECT doc_id, item_id, round(max(score), 6) AS score, round(max(qo), 6) AS question_overlap, round(max(ao), 6) AS answer_overlap
-FROM ov WHERE CASE WHEN nq > 0 THEN qo ELSE ao END >= 0.5 GROUP BY ALL
+SELECT doc_id, item_id, round(max(score), 6) AS score, round(max(qo), 6) AS question_overlap, round(max(ao), 6) AS answer_overlap,
+  CASE WHEN (max(nq) = 0 OR max(qo) >= 0.5) AND (max(na) = 0 OR max(ao) >= 0.5) THEN 'whole' WHEN max(nq) > 0 AND max(qo) >= 0.5 THEN 'question' ELSE 'answer' END AS leaked
+FROM ov WHERE (nq > 0 AND qo >= 0.5) OR (na > 0 AND ao >= 0.5 AND (nq = 0 OR na >= 8)) GROUP BY doc_id, item_id
 """
