@@ -7,16 +7,18 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from tideclock.llm import packing, tokens
 
 SCHEMA = "doc_id bigint, text string, ids string, offset string"
 PATH = tokens.default_tokenizer()
+UNTOUCHED = Tokenizer.from_file(PATH)
 
 
 def check(rows, docs, size):
     """The documents' ids come out whole; sequences are gapless and not over-long; only long documents are cut."""
-    want = {k: [x.ids for x in tokens.encoder(PATH).tokenizer.encode_batch([t or ""], add_special_tokens=False)][0] + [1] for k, t in docs}
+    want = {k: [x.ids for x in UNTOUCHED.encode_batch([t or ""], add_special_tokens=False)][0] + [1] for k, t in docs}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r["doc_id"]].append(r)
@@ -40,7 +42,7 @@ def check(rows, docs, size):
 def test_documents_survive_packing(spark):
     rng = random.Random(1)
     docs = [(i, " ".join(rng.choice(["the", "house,", "écrit", "zzxq", "12"]) for _ in range(rng.choice([0, 1, 3, 20, 200, 700])))) for i in range(300)]
-    docs += [(300, None), (301, ""), (302, "   "), (303, "a " * 5000)]
+    docs += [(300, None), (301, ""), (302, "   "), (303, "a " * 5000), (304, "a <|endoftext|> b"), (305, "<|startoftext|>" * 40)]
     frame = spark.createDataFrame([(*d, "x", "y") for d in docs], SCHEMA).repartition(5)
     rows = packing.pack(frame, size=256, open_bins=8).collect()
     made, total = check(rows, docs, 256)
@@ -93,12 +95,24 @@ def test_many_small_partitions_cost_little(spark):
     assert made <= 1.03 * total / 128 + 1
 
 
+def test_second_round_keeps_its_bound(spark, monkeypatch):
+    """The pieces of the second round meet no more open bins than those of the first."""
+    most = []
+    add = packing.Packer.add
+    monkeypatch.setattr(packing.Packer, "add", lambda self, *a: (add(self, *a), most.append(self.count))[0])
+    rows = [(0, 0, 0, n, bytes(4 * n)) for n in (random.Random(8).randint(1, 60) for _ in range(500))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "piece", "start", "length", "ids"])
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    placed = [r for b in packing._second_round(64, 8)(iter([batch])) for r in b.to_pylist()]
+    assert len(placed) == 500 and max(most) == 8
+
+
 def test_registered_query(spark, data):
     from tideclock.llm.queries import QUERIES
 
     rows = QUERIES["op1_best_fit_packing"](spark, data).collect()
     texts = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
-    want = {r["doc_id"]: next(tokens.documents(pa.array([r["text"]], pa.string()), PATH)) for r in texts}
+    want = {r["doc_id"]: np.array([*UNTOUCHED.encode(r["text"] or "", add_special_tokens=False).ids, tokens.END_ID]) for r in texts}
     for r in rows:
         piece = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
         assert zlib.crc32(piece.astype("<u4").tobytes()) == r["ids_crc32"]

@@ -2,14 +2,18 @@
 
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
 
 from tideclock.llm import tokens
 
 PATH = tokens.default_tokenizer()
 
 
+UNTOUCHED = Tokenizer.from_file(PATH)
+
+
 def plain(texts):
-    return [x.ids for x in tokens.encoder(PATH).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    return [x.ids for x in UNTOUCHED.encode_batch(texts, add_special_tokens=False)]
 
 
 def ours(texts):
@@ -25,6 +29,19 @@ def test_awkward_texts():
     assert ours([]) == []
 
 
+def test_added_tokens():
+    """The file's own added tokens become their ids, in any surroundings; parts of them and other cases are plain text."""
+    start, end = "<|startoftext|>", "<|endoftext|>"
+    assert ours([f"a {end} b"]) == [[320, 49407, 321, tokens.END_ID]]
+    check([f"a {end} b", "plain", f"{start}{end}", f"x{end}y", f"{start} {start}a", "<|endoftext|", "endoftext|>", "<|ENDOFTEXT|>", "<|endof text|>", f"{end}\u0338", f"<{end}>", "", "also plain, it's", f"\n{end}\n"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|", "|>", "endoftext", "startoftext", " ", "a", "É", "\n", "<", "|", ">", "\u0338", "ENDOFTEXT"]), max_size=12).map("".join), max_size=6))
+def test_texts_around_added_tokens(texts):
+    check(texts)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(list("abzAZ019'\"|%.,-_ \n\t") + ["é", "É", "ß", "ç", "́", "ſ", "'s", "'ll", "İ", "½", "🙂", "\xa0", "×", "µ"]), max_size=60).map("".join), max_size=5))
 def test_mixed_texts(texts):

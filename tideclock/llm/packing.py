@@ -4,9 +4,9 @@ A packer holds a fixed number of open bins, keyed by free space in a bitset. A
 piece goes to the open bin that it fills best; if none has room a bin is
 opened, and if too many are open the fullest closes. Packing runs where the
 documents are tokenized. The bins still open at the end of a partition are
-taken apart and their pieces, longest first, go through a second packer that
-serves many partitions, so that what stays half full does not grow with their
-number.
+taken apart and their pieces go, in an order of their own, through a second
+packer of the same bound that serves many partitions, so that what stays half
+full does not grow with their number.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from tideclock.llm import scratch, tokens
 
 MAX_TOKENS = 4096
 OPEN_BINS = 256
-#: Bins left open that one second-round task takes, and its own open bins: so many that
-#: the long pieces, which come first, need not close before the short ones fill them.
+#: Bins left open whose pieces one task of the second round takes.
 SECOND_ROUND_BINS = 4096
-SECOND_OPEN_BINS = 2 * SECOND_ROUND_BINS
 
 PIECE = "key {key}, piece int, start bigint, length bigint, ids binary"
 PLACED = PIECE + ", sequence_id bigint, offset bigint, closed boolean"
@@ -154,6 +152,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     placed = spark.read.schema(first.schema).option("basePath", path).parquet(path)
     open_rows = placed.filter(~F.col("closed")).drop("closed")
     tasks = 1 + open_rows.agg(F.countDistinct("sequence_id")).first()[0] // SECOND_ROUND_BINS
-    again = open_rows.drop("sequence_id", "offset").coalesce(tasks).sortWithinPartitions(F.col("length").desc(), "key", "piece")
-    second = again.mapInArrow(_second_round(size, SECOND_OPEN_BINS), PLACED.format(key=kind))
+    # By hash: an order that is the same in every attempt of a task and mixes long pieces with short ones.
+    again = open_rows.drop("sequence_id", "offset").coalesce(tasks).sortWithinPartitions(F.xxhash64("key", "piece", "ids"))
+    second = again.mapInArrow(_second_round(size, open_bins), PLACED.format(key=kind))
     return placed.filter(F.col("closed")).unionByName(second).drop("closed").withColumnRenamed("key", key)

@@ -42,8 +42,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = wavelet.write_shards(read(spark, sf_dir, "documents"), scratch.new_path(spark, "shards"))
-    return wavelet.document_digests(shards).withColumnRenamed("key", "doc_id")
+    docs = read(spark, sf_dir, "documents")
+    shards = wavelet.write_shards(docs, scratch.new_path(spark, "shards"))
+    return wavelet.document_digests(shards, dict(docs.dtypes)["doc_id"]).withColumnRenamed("key", "doc_id")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,8 +64,9 @@ class Encoder:
     """Encodes lists of texts with one tokenizer file.
 
     Words of common characters are split here, by the file's own rule, and
-    their pieces go to the file's model; all other words, and all texts of
-    files with other rules, go through the whole tokenizer.
+    their pieces go to the file's model; all other words, all texts that hold
+    an added token of the file, and all texts of files with other rules, go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,10 +74,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         rules = json.loads(self.tokenizer.to_str())
         normalizers = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.added = [t["content"].lower() for t in rules["added_tokens"]]
         self.by_word = normalizers == NORMALIZERS and splits[:1] == [SPLIT]
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # words are remembered here
@@ -144,11 +145,31 @@ class Encoder:
         if not len(texts):
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         if not self.by_word:
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array([len(ids) for ids in got], dtype=np.int64)
+            return self._whole(texts)
         if len(self.words) + len(self.pieces) > MEMORY_WORDS:
             self._forget()
-        split = pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
+        folded = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        odd = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            odd |= pc.match_substring(folded, token).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._by_word(folded)
+        # Texts with added tokens are few: they are encoded apart and put back in their places.
+        parts = {True: self._whole(texts.filter(pa.array(odd))), False: self._by_word(folded.filter(pa.array(~odd)))}
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[odd], counts[~odd] = parts[True][1], parts[False][1]
+        ids, from_odd = np.zeros(int(counts.sum()), dtype=np.uint32), np.repeat(odd, counts)
+        ids[from_odd], ids[~from_odd] = parts[True][0], parts[False][0]
+        return ids, counts
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], dtype=np.uint32), np.array([len(ids) for ids in got], dtype=np.int64)
+
+    def _by_word(self, folded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(folded):
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        split = pc.split_pattern(folded, " ")
         numbered = split.flatten().dictionary_encode()
         known = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
         numbers = np.fromiter(map(self.words.__getitem__, known), dtype=np.int64, count=len(known))[numbered.indices.to_numpy()]

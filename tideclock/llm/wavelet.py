@@ -8,7 +8,8 @@ place (rank), and where its k-th occurrence is (select), without unpacking the
 tokens.
 
 File: the magic bytes, a length-prefixed JSON header, then one zstd frame with
-alphabet, document lengths, document keys, planes and block counts.
+alphabet, document lengths, document keys (an Arrow stream of one column, so
+that keys of any type come back as they were), planes and block counts.
 """
 
 from __future__ import annotations
@@ -32,7 +33,14 @@ BLOCK = 512
 SHARD_TOKENS = 1 << 22
 
 
-def build(ids: np.ndarray, lengths: list[int], keys: list) -> bytes:
+def _key_bytes(keys: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("key", keys.type)])) as stream:
+        stream.write_batch(pa.RecordBatch.from_arrays([keys], names=["key"]))
+    return sink.getvalue().to_pybytes()
+
+
+def build(ids: np.ndarray, lengths: list[int], keys: pa.Array) -> bytes:
     """The file of a shard: ``ids`` of its documents, one after the other."""
     alphabet, n = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, dtype=np.int64), len(ids)
     levels = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
@@ -52,8 +60,7 @@ def build(ids: np.ndarray, lengths: list[int], keys: list) -> bytes:
         zeros.append(n - int(before[-1]))
         if level + 1 < levels:
             now = np.concatenate([np.compress(~ones, now), np.compress(ones, now)])
-    names = json.dumps(keys).encode()
-    parts = [alphabet.astype("<u4").tobytes(), np.array(lengths, dtype="<u8").tobytes(), names, b"".join(planes), b"".join(counts)]
+    parts = [alphabet.astype("<u4").tobytes(), np.array(lengths, dtype="<u8").tobytes(), _key_bytes(keys), b"".join(planes), b"".join(counts)]
     header = json.dumps({"n": n, "levels": levels, "zeros": zeros, "sizes": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(header)) + header + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
@@ -73,7 +80,7 @@ class Shard:
         self.n, self.levels, self.zeros = head["n"], head["levels"], head["zeros"]
         self.alphabet = np.frombuffer(parts[0], dtype="<u4")
         self.lengths = np.frombuffer(parts[1], dtype="<u8").astype(np.int64)
-        self.keys = json.loads(bytes(parts[2]))
+        self.keys = pa.ipc.open_stream(pa.py_buffer(parts[2])).read_all().column("key").combine_chunks()
         blocks = -(-self.n // BLOCK)
         self.planes = np.frombuffer(parts[3], dtype=np.uint8).reshape(self.levels, blocks * BLOCK // 8)
         self.before = np.frombuffer(parts[4], dtype=np.uint32).reshape(self.levels, blocks + 1)
@@ -167,15 +174,16 @@ FILES = "part int, shard int, tokens_before bigint, n_tokens bigint, n_documents
 def _write(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, before = TaskContext.get().partitionId(), 0, 0
-        held, keys, size = [], [], 0
+        held, keys, size, kind = [], [], 0, None
 
         def close() -> pa.RecordBatch:
-            content = build(np.concatenate(held), [len(x) for x in held], keys)
+            content = build(np.concatenate(held), [len(x) for x in held], pa.array(keys, kind))
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             row = [part, shard, before, size, len(keys), content]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "shard", "tokens_before", "n_tokens", "n_documents", "content"])
 
         for batch in batches:
+            kind = batch.column(0).type
             for key, ids in zip(batch.column(0).to_pylist(), tokens.documents(batch.column(1), path), strict=True):
                 held.append(ids)
                 keys.append(key)
@@ -195,15 +203,19 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
 
     Each Parquet file of the folder holds one shard file as ``content``, with
     its range part, its number there and the tokens of the part before it.
-    Null keys come first. Rows with equal keys go by text, null texts (which
-    are empty ones) first; an empty table gives no shards.
+    Null keys come first. Rows with equal keys go by a hash of the text, so
+    that a key with very many rows is dealt over several parts, then by text; a
+    null text is an empty one. Keys may be of any type that can be ordered. An
+    empty table gives no shards; other columns are not read.
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
     narrow = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = narrow.repartitionByRange(parts, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    made = ordered.mapInArrow(_write(tokenizer or tokens.default_tokenizer(), shard_tokens), FILES)
+    narrow = narrow.withColumn("th", F.xxhash64("text"))
+    order = [F.col("key").asc_nulls_first(), F.col("th")]
+    ordered = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+    made = ordered.select("key", "text").mapInArrow(_write(tokenizer or tokens.default_tokenizer(), shard_tokens), FILES)
     made.write.options(compression="uncompressed", maxRecordsPerFile=1).parquet(folder)
     return spark.read.schema(made.schema).parquet(folder)
 
@@ -215,14 +227,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = shard.ids().astype("<u4")
             ends = np.cumsum(shard.lengths)
             sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip((ends - shard.lengths).tolist(), ends.tolist(), strict=True)]
-            columns = [pa.array(shard.keys, pa.int64()), pa.array(start + ends - shard.lengths), pa.array(shard.lengths), pa.array(sums, pa.int64())]
+            columns = [shard.keys, pa.array(start + ends - shard.lengths), pa.array(shard.lengths), pa.array(sums, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids_crc32"])
 
 
-def document_digests(shards: DataFrame) -> DataFrame:
+def document_digests(shards: DataFrame, kind: str = "bigint") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of each document, read back from the shard files.
 
-    ``start`` counts the ids of all documents before. The tokens of whole range
+    ``kind`` is the type of the keys that were written. No shards, no rows. ``start`` counts the ids of all documents before. The tokens of whole range
     parts, one number for each, are what is added up in one place.
     """
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -231,4 +243,4 @@ def document_digests(shards: DataFrame) -> DataFrame:
         sums[row["part"]] = at
         at += row["n"]
     offset = F.create_map(*(F.lit(x) for pair in sums.items() for x in pair))[F.col("part")] if sums else F.lit(0)
-    return shards.select((F.col("tokens_before") + offset).cast("long").alias("start"), "content").mapInArrow(_read, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.select((F.col("tokens_before") + offset).cast("long").alias("start"), "content").mapInArrow(_read, f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
