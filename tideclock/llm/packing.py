@@ -4,9 +4,10 @@ A packer holds a fixed number of open bins, keyed by free space in a bitset. A
 piece goes to the open bin that it fills best; if none has room a bin is
 opened, and if too many are open the fullest closes. Packing runs where the
 documents are tokenized. The bins still open at the end of a partition are
-taken apart and their pieces go, in an order of their own, through a second
-packer of the same bound that serves many partitions, so that what stays half
-full does not grow with their number.
+taken apart and their pieces go through a second packer of the same bound that
+serves many partitions, so that what stays half full does not grow with their
+number. It looks ahead over a fixed number of pieces and takes the longest of
+them first.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ MAX_TOKENS = 4096
 OPEN_BINS = 256
 #: Bins left open whose pieces one task of the second round takes.
 SECOND_ROUND_BINS = 4096
+#: Pieces that the second round looks ahead.
+AHEAD = 1024
 
 PIECE = "key {key}, piece int, start bigint, length bigint, ids binary"
 PLACED = PIECE + ", sequence_id bigint, offset bigint, closed boolean"
@@ -120,12 +123,22 @@ def _first_round(path: str, size: int, open_bins: int):
 
 def _second_round(size: int, open_bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, rows = Packer(size, open_bins), None
+        packer, rows, waiting = Packer(size, open_bins), None, []
+
+        def place() -> Iterator[pa.RecordBatch]:
+            waiting.sort(key=lambda item: -item[3])
+            for item in waiting:
+                yield from rows.add(packer.add(item, item[3]), True)
+            waiting.clear()
+
         for batch in batches:
             rows = rows or _Rows(_schema(batch.column(0).type), (1 << 62) + (TaskContext.get().partitionId() << 32))
             for item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from rows.add(packer.add(item, item[3]), True)
+                waiting.append(item)
+                if len(waiting) == AHEAD:
+                    yield from place()
         if rows:
+            yield from place()
             yield from rows.add(packer.rest(), True)
             yield rows.flush()
 
