@@ -61,6 +61,13 @@ def test_conversations(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "</s>[INST]"), (2, 0, None, None), (None, 3, "user", "x"), (3, None, "user", "late"), (3, None, "user", "late"), (3, 1, "assistant", "z" * 100_000)]
     frame = spark.createDataFrame([(*r, "t", "n") for r in rows], kind)
     got = {r["tree"]: r for r in chat.digest(chat.format_trees(chat.as_tree(frame))).collect()}
-    assert {k: v["n_turns"] for k, v in got.items()} == {"1": 2, "2": 1, "null": 1, "3": 3}
-    assert got["3"]["loss_chars"] == 100_000 and got["1"]["loss_chars"] == 1
+    assert {k: v["n_turns"] for k, v in got.items()} == {"=1": 2, "=2": 1, "null": 1, "=3": 3}
+    assert got["=3"]["loss_chars"] == 100_000 and got["=1"]["loss_chars"] == 1
     assert chat.digest(chat.format_trees(chat.as_tree(frame.limit(0)))).count() == 0
+
+
+def test_null_id_and_the_id_null(spark):
+    rows = [(None, 0, "user", "of nobody"), ("null", 0, "user", "of null"), ("", 0, "user", "of the empty id"), ("=", 0, "user", "of the sign")]
+    frame = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    got = chat.format_trees(chat.as_tree(frame)).withColumn("conv_id", chat.conv_id(chat.F.col("tree"))).collect()
+    assert {(r["conv_id"], chat.parse_turns(r["formatted"])[0][1]) for r in got} == {(r[0], r[3]) for r in rows}

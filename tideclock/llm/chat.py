@@ -21,7 +21,7 @@ import re
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tideclock.llm import scratch
 
@@ -145,14 +145,22 @@ def as_tree(conversations: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as trees: each turn answers the one before.
 
     Rows of one conversation with equal turns are put in order of role and text,
-    nulls first; null turns come first, and a null conv_id is a conversation.
+    nulls first; null turns come first, and a null conv_id is a conversation of
+    its own. :func:`conv_id` tells a tree's conv_id. Repeated rows are turns
+    each; an empty table gives no messages; other columns are not read.
     """
     order = W.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    named = conversations.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("tree"), "turn", "role", "text")
+    tree = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
+    named = conversations.select(tree.alias("tree"), "turn", "role", "text")
     placed = named.withColumn("node", F.row_number().over(order).cast("long"))
     return placed.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def conv_id(tree: Column) -> Column:
+    """The conv_id, as a string, of a tree that :func:`as_tree` has named."""
+    return F.when(tree != "null", F.substr(tree, F.lit(2)))
+
+
 DIGEST = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
