@@ -39,8 +39,9 @@ def plain(rows):
         if etag is None and modified is None:
             out.append((rid, "no_validator", r[0], None, None))
         elif (weak(etag) == weak(r[5])) if etag is not None else (modified is not None and modified == r[6]):
-            fresh = {k.lower(): v for k, v in (headers or {}).items() if k.lower() in warc.PERMITTED and v is not None}
-            out.append((rid, "resolved", r[0], {k.lower(): v for k, v in (r[7] or {}).items()} | fresh, r[8]))
+            folded = lambda h: {k.lower(): v for k, v in sorted((h or {}).items()) if v is not None}
+            fresh = {k: v for k, v in folded(headers).items() if k in warc.PERMITTED}
+            out.append((rid, "resolved", r[0], folded(r[7]) | fresh, r[8]))
         else:
             out.append((rid, "mismatch", r[0], None, None))
     return sorted(out, key=lambda x: x[0])
@@ -54,7 +55,7 @@ def test_against_plain_search(spark, monkeypatch, parts):
         kind = rng.choice(["response", "revisit", "revisit"])
         url = rng.choice(["a.com/1"] * 6 + ["a.com/2", "b.org", None])
         tag = rng.choice(['"x"', 'W/"x"', '"y"', None])
-        headers = rng.choice([None, {"Date": str(rid), "Content-Length": "0"}, {"ETag": "n", "X-A": "1", "VARY": None}])
+        headers = rng.choice([None, {"Date": str(rid), "Content-Length": "0"}, {"ETag": "n", "X-A": "1", "VARY": None}, {"Date": "1", "date": str(rid), "DATE": "0", "x-a": None, "X-a": "2"}])
         rows.append((rid, kind, url, rng.choice([None, *range(40)]), rng.choice([200, 200, 404]) if kind == "response" else 304, tag, rng.choice(["m1", "m2", None]), headers, f"body{rid}" if kind == "response" else None))
     given = [(*r[:2], r[2] and "http://" + r[2], *r[3:], "p", "c") for r in rows]
     got = warc.resolve(spark.createDataFrame(given, SCHEMA).repartition(3)).collect()
@@ -64,3 +65,14 @@ def test_against_plain_search(spark, monkeypatch, parts):
 
 def test_empty_table(spark):
     assert warc.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_bad_date_and_a_hot_url(spark):
+    """A date far off the others leaves the records of a hot URL dealt over the parts."""
+    rows = [(i, "response" if i % 2 else "revisit", "http://a.com/", 10**14 if i == 77 else i, 200, '"x"', None, None, "b", "p", "c") for i in range(4000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    bounds = warc.quantile_bounds(frame, "date", 64)
+    sizes = [r["count"] for r in frame.groupBy(warc.range_of(warc.F.col("date"), bounds, "bigint")).count().collect()]
+    assert max(sizes) < 200
+    got = {r["record_id"]: r["response_id"] for r in warc.resolve(frame).collect()}
+    assert all(got[i] == (None if i == 0 else i - 1 if i != 78 else 75) for i in range(0, 4000, 2))

@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tideclock.llm import scratch
+from tideclock.operators.ranges import quantile_bounds, range_of
 
 # Query parameters that do not change a page, and headers that a 304 may update.
 TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid|sessionid)"
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
-#: Parts into which time is cut; the last response of each part of a URL is carried on.
+#: Parts of about equally many records into which time is cut; the last response of each part of a URL is carried on.
 PARTS = 1024
 
 
@@ -33,11 +34,18 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, r"^W/", "")
 
 
+def _folded(headers: Column) -> Column:
+    """Headers that have a value, with names in lower case; of names equal but for case the last in byte order counts."""
+    given = F.filter(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: e["value"].isNotNull())
+    entries = F.array_sort(given)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == n), -1)["value"])))
+
+
 def _merged(stored: Column, sent: Column) -> Column:
     """Stored headers with the permitted ones of the revisit over them; names in lower case."""
-    fold = lambda m: F.transform_keys(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    fresh = F.map_filter(fold(sent), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
-    kept = F.map_filter(fold(stored), lambda k, _: ~F.array_contains(F.map_keys(fresh), k))
+    fresh = F.map_filter(_folded(sent), lambda k, _: k.isin(*PERMITTED))
+    kept = F.map_filter(_folded(stored), lambda k, _: ~F.array_contains(F.map_keys(fresh), k))
     return F.map_concat(kept, fresh)
 
 
@@ -51,22 +59,21 @@ def resolve(records: DataFrame) -> DataFrame:
     ``no_validator`` (the revisit names neither etag nor last_modified) or
     ``mismatch``; entity tags are compared weakly and go before dates. All but
     resolved records have null headers and body. A null url or date has no
-    response. Header names are folded; names equal but for case must not clash
-    within a record. Rows of one record_id are taken as separate records. An
-    empty table gives no rows; other columns are not read.
+    response. Header names are folded; of names equal but for case the one that
+    is last in byte order counts, and headers without a value are left out.
+    Rows of one record_id are taken as separate records. An empty table gives no
+    rows; other columns are not read.
 
     Bodies do not take part in the as-of join; they are fetched by record_id.
     A URL with very many records is cut into parts of time, each a group of its
     own, and only the last response of each part is carried to later parts.
     """
-    spark = records.sparkSession
     narrow = records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical_url"), "date", "http_status", "etag", "last_modified", "headers")
     narrow = scratch.materialize(narrow, "captures")
-    low, high = narrow.agg(F.min("date"), F.max("date")).first()
-    width = 1 if low is None else (high - low) // PARTS + 1
+    bounds = quantile_bounds(narrow, "date", PARTS)
     full = (F.col("kind") == "response") & (F.col("http_status") == 200) & F.col("date").isNotNull()
     found = F.struct("record_id", "etag", "last_modified", "headers")
-    cut = narrow.withColumn("part", F.floor((F.col("date") - F.lit(low or 0)) / F.lit(width)).cast("int"))
+    cut = narrow.withColumn("part", range_of(F.col("date"), bounds, dict(narrow.dtypes)["date"]))
     timed = cut.filter(F.col("canonical_url").isNotNull() & F.col("date").isNotNull())
     inner = W.partitionBy("canonical_url", "part").orderBy("date", "record_id").rowsBetween(W.unboundedPreceding, -1)
     timed = timed.withColumn("near", F.last(F.when(full, found), ignorenulls=True).over(inner))
