@@ -118,6 +118,25 @@ def test_large_group_in_several_blocks_and_by_bucket(spark, monkeypatch):
     assert ours(spark, docs, 3, 85) == want
 
 
+def test_family_near_the_threshold(spark):
+    """3000 texts of 219 words, 200 of them common to all and 5 more to a pair: 0.88 within the 1500 pairs, 0.84 across."""
+    common = [f"c{i}" for i in range(200)]
+    docs = [(i, " ".join([*common, *(f"p{i // 2}-{j}" for j in range(5)), *(f"o{i}-{j}" for j in range(14))])) for i in range(3000)]
+    sets = [set(minhash.shingles(docs[i][1].encode(), 3).tolist()) for i in range(3)]
+    inside, across = len(sets[0] & sets[1]) / len(sets[0] | sets[1]), len(sets[0] & sets[2]) / len(sets[0] | sets[2])
+    assert 0.85 < inside < 0.89 and 0.8 < across < 0.85
+    got = {r[0]: r[2] for r in ours(spark, docs, 3, 85)}
+    found = sum(got[2 * i + 1] == 2 * i for i in range(1500))
+    print("recall", found / 1500)
+    assert found >= 0.99 * 1500 and all(got[i] in (i, i - 1) for i in range(3000))
+
+
+def test_columns_named_like_helpers(spark):
+    frame = spark.createDataFrame([(1, "a b c", "x", "y"), (2, "a b c", "x", "y"), (None, "a b c", "x", "y"), (3, None, "x", "y")], "doc_id bigint, text string, gone_key string, component_id string")
+    got = minhash.keep_one(frame)
+    assert got.columns == frame.columns and sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 3]
+
+
 def test_shared_counts():
     rng = np.random.default_rng(4)
     sets = [np.unique(np.concatenate([rng.integers(0, 50, 30), rng.integers(0, 5000, n)]).astype(np.uint64)) for n in (0, 9, 700, 3000, 20) * 9]

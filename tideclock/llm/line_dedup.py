@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tideclock.llm import scratch
 
-#: Shorter lines, blanks at their ends left off, are never judged.
-MIN_CHARS = 25
+#: Characters, blanks at the ends left off, from which on lines are compared by edit distance, and
+#: from which on they are judged at all: one edit is a small part of a long line, and most of a short one.
+NEAR_CHARS = 25
+MIN_CHARS = 1
 BLANKS = " \t\r"
 
 
@@ -90,11 +92,15 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(key, th, line_no, h1, h2, halves) of every judged line of (key, th, text); narrow, without texts."""
+def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """(key, th, line_no, h1, h2, halves) of every judged line of (key, th, text); narrow, without texts.
+
+    Lines that are not compared by edit distance have no halves.
+    """
     lines = docs.select("key", "th", F.posexplode(_split(F.col("text"))).alias("line_no", "raw")).select("key", "th", "line_no", _trimmed(F.col("raw")).alias("line"))
-    lines = lines.filter(F.length("line") >= MIN_CHARS)
-    return lines.select("key", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), half_keys(F.col("line")).alias("halves"))
+    lines = lines.filter(F.length("line") >= min_chars)
+    halves = F.when(F.length("line") >= near_chars, half_keys(F.col("line")))
+    return lines.select("key", "th", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), halves.alias("halves"))
 
 
 def _agreeing(keyed: DataFrame) -> DataFrame:
@@ -132,9 +138,11 @@ def _leaders(suspects: DataFrame) -> DataFrame:
     return found
 
 
-def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """One row per dropped line: key, th, line_no, kept_key, kept_line_no, distance.
 
+    Equal lines are duplicates from ``min_chars`` characters on, with 0 the
+    blank ones too; lines at an edit distance of 1 if both have ``near_chars``.
     ``line_no`` counts from 0 over lines ended by ``\\n``; ``th`` is a hash of
     the document's text, so that different texts under one key stay apart;
     equal rows are one document. ``kept_*`` name the earliest equal line, or
@@ -143,7 +151,7 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    seen = scratch.materialize(occurrences(rows), "lines")
+    seen = scratch.materialize(occurrences(rows, min_chars, near_chars), "lines")
     place = F.struct("key", "th", "line_no")
     firsts = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
     firsts = scratch.materialize(firsts, "firsts")
@@ -161,15 +169,20 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.distinct().withColumnRenamed("key", key)
 
 
-def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """``docs`` without their duplicate lines, with the same columns; ``length``, if there, is counted anew.
 
-    Every document stays, be it with an empty text. A null text stays null.
+    Every document stays, be it with an empty text. A null text stays null, a
+    null key is a key like others and comes first. Equal rows are one document
+    and keep the same lines. Columns of any name are carried; an empty table
+    stays empty.
     """
-    gone = duplicate_lines(docs, key, text).groupBy(F.col(key).alias("gone_key"), F.col("th").alias("gone_th")).agg(F.collect_set("line_no").alias("gone_lines"))
-    own = F.xxhash64(docs[f"`{text}`"])
-    met = docs.join(gone.hint("shuffle_hash"), docs[f"`{key}`"].eqNullSafe(F.col("gone_key")) & (own == F.col("gone_th")), "left")
-    kept = F.array_join(F.filter(_split(docs[f"`{text}`"]), lambda x, i: ~F.array_contains(F.col("gone_lines"), i)), "\n")
-    clean = F.when(F.col("gone_lines").isNull(), docs[f"`{text}`"]).otherwise(kept)
+    gone_key, gone_th, gone_lines = scratch.free_names(docs, "gone_key", "gone_th", "gone_lines")
+    found = duplicate_lines(docs, key, text, min_chars, near_chars)
+    gone = found.groupBy(F.col(key).alias(gone_key), F.col("th").alias(gone_th)).agg(F.collect_set("line_no").alias(gone_lines))
+    lines, own = gone[gone_lines], F.xxhash64(docs[f"`{text}`"])
+    met = docs.join(gone.hint("shuffle_hash"), docs[f"`{key}`"].eqNullSafe(gone[gone_key]) & (own == gone[gone_th]), "left")
+    kept = F.array_join(F.filter(_split(docs[f"`{text}`"]), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    clean = F.when(lines.isNull(), docs[f"`{text}`"]).otherwise(kept)
     columns = [clean.alias(c) if c == text else F.length(clean).cast(dict(docs.dtypes)[c]).alias(c) if c == length else docs[f"`{c}`"] for c in docs.columns]
     return met.select(*columns)

@@ -400,6 +400,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without all but the first document of each group of near-duplicates."""
-    gone = near_duplicates(docs, key, text, width, percent).filter(~F.col("kept")).select(F.col(key).alias("gone_key")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[f"`{key}`"] == F.col("gone_key"), "left_anti")
+    """``docs`` without all but the first document of each group of near-duplicates.
+
+    Rows with a null key and rows with null or empty texts stay. Rows of one key
+    are one document and stay or go together. Columns of any name are carried;
+    an empty table stays empty.
+    """
+    (gone_key,) = scratch.free_names(docs, "gone_key")
+    gone = near_duplicates(docs, key, text, width, percent).filter(~F.col("kept")).select(F.col(key).alias(gone_key)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[f"`{key}`"] == gone[f"`{gone_key}`"], "left_anti")

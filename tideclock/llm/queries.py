@@ -22,7 +22,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", PLANTED_TURN), (-1, 1, "assistant", PLANTED_TURN)], "conv_id bigint, turn bigint, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     formatted = chat.format_trees(chat.as_tree(rows), branches=1)
-    return chat.digest(formatted).withColumn("conv_id", F.col("tree").cast("long")).drop("tree")
+    return chat.digest(formatted).withColumn("conv_id", chat.conv_id(F.col("tree")).cast("long")).drop("tree")
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,14 +193,14 @@ ORACLE["op5_line_dedup"] = r"""
 WITH l AS MATERIALIZED (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents
 ), o AS MATERIALIZED (
-  SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l WHERE length(trim(raw, ' ' || chr(9) || chr(13))) >= 25
+  SELECT doc_id, line_no, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM l WHERE length(trim(raw, ' ' || chr(9) || chr(13))) >= 1
 ), f AS MATERIALIZED (
   SELECT line, length(line) AS n, arg_min(doc_id, (doc_id, line_no)) AS doc_id, arg_min(line_no, (doc_id, line_no)) AS line_no FROM o GROUP BY line
 ), k AS MATERIALIZED (
-  SELECT *, n AS least_n, 1 AS side, substr(line, 1, n // 2) AS part FROM f
-  UNION ALL SELECT *, n, 2, substr(line, n // 2 + 1) FROM f
-  UNION ALL SELECT *, n - 1, 1, substr(line, 1, (n - 1) // 2) FROM f
-  UNION ALL SELECT *, n - 1, 2, substr(line, n - (n - 1 - (n - 1) // 2) + 1) FROM f
+  SELECT *, n AS least_n, 1 AS side, substr(line, 1, n // 2) AS part FROM f WHERE n >= 25
+  UNION ALL SELECT *, n, 2, substr(line, n // 2 + 1) FROM f WHERE n >= 25
+  UNION ALL SELECT *, n - 1, 1, substr(line, 1, (n - 1) // 2) FROM f WHERE n >= 25
+  UNION ALL SELECT *, n - 1, 2, substr(line, n - (n - 1 - (n - 1) // 2) + 1) FROM f WHERE n >= 25
 ), pairs AS MATERIALIZED (
   SELECT DISTINCT a.line AS late, b.line AS early, b.doc_id AS kd, b.line_no AS kl
   FROM k a JOIN k b ON a.least_n = b.least_n AND a.side = b.side AND a.part = b.part

@@ -59,3 +59,13 @@ def drop(*tables: DataFrame) -> None:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hold Arrow batches to ``rows`` rows, so that long texts fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names of helper columns, with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
