@@ -32,6 +32,27 @@ def test_risk_stays_honest_on_noise():
     assert np.abs(z).mean() < 6  # unbounded without the bound at zero
 
 
+def test_prior_from_the_mixture():
+    """The share of positives among unlabelled rows is found without a negative label."""
+    rng = np.random.default_rng(2)
+    k = len(M.FEATURES)
+    for share in (0.3, 0.6, 0.9):
+        n = 8000
+        good, bad = rng.normal(1, 1, (int(n * share) + 2000, k)), rng.normal(-1, 1, (int(n * (1 - share)), k))
+        model = M.fit_nnpu(good[:2000], np.concatenate([good[2000:], bad]))
+        assert abs(model.prior - share) < 0.06
+
+
+def test_rows_in_the_cluster_fit_as_arrays(spark):
+    rng = np.random.default_rng(6)
+    k = len(M.FEATURES)
+    x = np.concatenate([rng.normal(1, 1, (900, k)), rng.normal(-1, 1, (300, k))])
+    y = np.arange(1200) < 400
+    frame = spark.createDataFrame([(a.tolist(), bool(b)) for a, b in zip(x, y, strict=True)], "x array<double>, positive boolean").repartition(5)
+    got, want = M.fit_rows(frame), M.fit_nnpu(x[y], x)
+    assert np.isclose(got.prior, want.prior) and np.allclose(got.weights, want.weights, atol=1e-4) and np.isclose(got.bias, want.bias, atol=1e-4)
+
+
 def test_folds_agree(spark):
     rows = [(i,) for i in [0, 1, 7, 12345678901, -3]]
     got = spark.createDataFrame(rows, "k bigint").select("k", M.fold(M.F.col("k")).alias("f")).collect()

@@ -1,15 +1,22 @@
 """A quality classifier from positive and unlabelled documents.
 
 Trusted positives and unlabelled web text are all that the risk looks at. The
-unlabelled risk less the positives' share of it estimates the negatives' risk;
-where that estimate falls below zero it is held at zero and its gradient is
-reversed (non-negative PU learning), which keeps the model from fitting noise.
-The class prior is estimated from the share of positives among judged rows.
+unlabelled risk less the positives' share of it estimates the negatives' risk,
+which must not fall below zero: a step that would take it there is cut back
+(non-negative PU learning), which keeps the model from fitting noise.
+
+The class prior is estimated from the mixture. A first model tells positives
+from unlabelled rows; among the rows that it finds most like positives there
+are few others, so that the share of the unlabelled rows there, divided by the
+share of the positives there, comes down to the prior.
+
+All rows outside the held-out fold take part, however many: each Newton step
+needs sums over the rows only, which one aggregate brings to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 import math
 import zlib
@@ -22,13 +29,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tideclock.llm import scratch
 from tideclock.llm.quality_rules import repeat_words
 
-#: Bounds of the training samples; the documents are drawn by a hash of their keys.
-MAX_POSITIVES = 20_000
-MAX_UNLABELLED = 40_000
 FOLDS = 5
-#: Used where no row is judged.
+#: Used where no row is known to be positive.
 DEFAULT_PRIOR = 0.5
-STEPS, RATE, DECAY = 600, 0.05, 1e-4
+#: The prior is read where at least this share of the positives is.
+TAIL = 0.5
+#: Most passes over the rows for one model, and the weight decay.
+PASSES, DECAY = 16, 1e-3
 
 FEATURES = ("length", "symbols", "bangs", "bars", "capitals", "digits", "repeats", "same_lines", "variety", "top_word", "word_length", "punctuation", "worst_symbols", "worst_capitals", "worst_variety", "longest_word")
 _SYMBOL = bytes(1 if b in b"#*$%&|<>" else 0 for b in range(256))
@@ -106,34 +113,140 @@ class Model:
         return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def fit_nnpu(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> Model:
-    """Minimise the non-negative unbiased risk with the logistic loss by Adam, all rows each step."""
-    if not len(positives) or not len(unlabelled):
-        return Model([0.0] * len(FEATURES), math.log(prior / (1 - prior)), prior)
-    every = np.concatenate([positives, unlabelled])
-    centre, scale = every.mean(axis=0), every.std(axis=0) + 1e-6
-    p, u = (positives - centre) / scale, (unlabelled - centre) / scale
-    p, u = np.hstack([p, np.ones((len(p), 1))]), np.hstack([u, np.ones((len(u), 1))])
-    w = np.zeros(p.shape[1])
-    w[-1] = math.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        toward = -prior * p.T @ (1 - _sigmoid(zp)) / len(p)
-        away = u.T @ _sigmoid(zu) / len(u) - prior * p.T @ _sigmoid(zp) / len(p)
-        gradient = toward + away if negative >= 0 else -away
-        gradient[:-1] += DECAY * w[:-1]
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+K = len(FEATURES) + 1
+_PARTS = (1, 1, K, K, K * K)
+
+
+def _sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Over standardised rows: their number, the logistic loss as negatives, x, its gradient and curvature."""
+    z = x @ w
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return np.concatenate([[len(x), np.logaddexp(0, z).sum()], x.sum(axis=0), s @ x, ((x * (s * (1 - s))[:, None]).T @ x).ravel()])
+
+
+def _means(sums: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray, np.ndarray]:
+    n, loss, x, gradient, curvature = np.split(sums, np.cumsum(_PARTS)[:-1])
+    n = float(n[0])
+    return n, float(loss[0]) / n, x / n, gradient / n, curvature.reshape(K, K) / n
+
+
+def _newton(gather: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], w: np.ndarray, prior: float | None) -> np.ndarray:
+    """The least risk from ``w`` on; ``gather`` gives the sums of positive and unlabelled rows for weights.
+
+    With a prior, the non-negative PU risk with the logistic loss; without, that
+    of telling positives from unlabelled rows.
+    """
+    best, least, direction, step = w, math.inf, np.zeros(K), 1.0
+    for _ in range(PASSES):
+        (_, loss_p, x_p, g_p, h_p), (_, loss_u, _, g_u, h_u) = map(_means, gather(w))
+        decay = np.append(np.full(K - 1, DECAY), 1e-9)
+        # As a positive a row's loss is its loss as a negative less w x.
+        if prior is None:
+            risk, allowed, gradient, curvature = loss_u + loss_p - w @ x_p, True, g_u + g_p - x_p, h_u + h_p
+        else:
+            risk, allowed, gradient, curvature = loss_u - prior * (w @ x_p), loss_u - prior * loss_p >= 0, g_u - prior * x_p, h_u
+        risk += float(decay @ w**2) / 2
+        if allowed and risk <= least + 1e-12:
+            best, least, step = w, risk, 1.0
+            direction = -np.linalg.solve(curvature + np.diag(decay), gradient + decay * w)
+            if np.abs(direction).max() < 1e-3:
+                break
+        else:
+            step /= 2
+            if step < 1 / 32:
+                break
+        w = best + step * direction
+    return best
+
+
+def _start(prior: float) -> np.ndarray:
+    return np.append(np.zeros(K - 1), math.log(prior / (1 - prior)))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior from histograms of the first model's scores, low to high: the least ratio of upper tails."""
+    p, u = (np.cumsum(h[::-1]) / max(1, h.sum()) for h in (positive, unlabelled))
+    told = p >= TAIL
+    return float(np.clip((u[told] / p[told]).min(), 0.01, 0.99)) if told.any() else DEFAULT_PRIOR
+
+
+_EDGES = np.linspace(-20, 20, 401)
+
+
+def _fit(gather_moments: Callable, gather_sums: Callable, gather_histograms: Callable, prior: float | None) -> Model:
+    """A model from three kinds of sums over the rows; without positives it knows nothing."""
+    n, sums, squares, positives = gather_moments()
+    if not n or not positives:
+        known = DEFAULT_PRIOR if prior is None else prior
+        return Model([0.0] * len(FEATURES), math.log(known / (1 - known)), known)
+    centre = sums / n
+    scale = np.sqrt(np.maximum(squares / n - centre**2, 0)) + 1e-6
+    gather = lambda w: gather_sums(w, centre, scale)
+    if prior is None:
+        prior = estimate_prior(*gather_histograms(_newton(gather, np.zeros(K), None), centre, scale))
+    w = _newton(gather, _start(prior), prior)
     weights = w[:-1] / scale
     return Model(weights.tolist(), float(w[-1] - weights @ centre), prior)
 
 
+def _standard(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.hstack([(x - centre) / scale, np.ones((len(x), 1))])
+
+
+def _histogram(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.histogram(np.clip(x @ w, -20, 20), _EDGES)[0].astype(float)
+
+
+def fit_nnpu(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """The fit from arrays of features; without a prior it is estimated."""
+    standard = lambda c, s: (_standard(positives, c, s), _standard(unlabelled, c, s))
+    return _fit(
+        lambda: (len(unlabelled), unlabelled.sum(axis=0), (unlabelled**2).sum(axis=0), len(positives)),
+        lambda w, c, s: tuple(_sums(x, w) for x in standard(c, s)),
+        lambda w, c, s: tuple(_histogram(x, w) for x in standard(c, s)),
+        prior,
+    )
+
+
+def _total(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of ``of(features, positive)`` over batches of (x, positive), added up in the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            out += of(x, batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    added = rows.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    out = np.zeros(size)
+    for row in added.collect():  # ``size`` rows
+        out[row["i"]] = row["v"]
+    return out
+
+
+def fit_rows(rows: DataFrame) -> Model:
+    """The fit from rows of (x, positive); all rows count as unlabelled, the positive ones as positives too."""
+
+    def moments() -> tuple:
+        k = len(FEATURES)
+        got = _total(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(axis=0), (x**2).sum(axis=0)]), 2 + 2 * k)
+        return got[0], got[2 : 2 + k], got[2 + k :], got[1]
+
+    def both(of: Callable, size: int) -> Callable:
+        def gather(w: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> tuple:
+            def parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                x = _standard(x, centre, scale)
+                return np.concatenate([of(x[y], w), of(x, w)])
+
+            got = _total(rows, parts, 2 * size)
+            return got[:size], got[size:]
+
+        return gather
+
+    return _fit(moments, both(_sums, sum(_PARTS)), both(_histogram, len(_EDGES) - 1), None)
+
+
 def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
@@ -142,40 +255,29 @@ def fold_of(key: object) -> int:
     return zlib.crc32(str(key).encode()) % FOLDS
 
 
-def _sample(rows: DataFrame, total: int, most: int) -> np.ndarray:
-    """About ``most`` feature rows, or all of fewer: those whose keys hash lowest.
-
-    The cut is set from the number of rows, so that tasks send the sample to the
-    driver and no more, however many they are.
-    """
-    h = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
-    drawn = rows if total <= most else rows.filter(h < int((1 << 40) * most / total))
-    got = drawn.select("x").toPandas()
-    return np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-
-
 def train(measured: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """A model from the rows outside the held-out fold.
 
     ``measured`` has key and x, ``labels`` doc_id and a 0/1 column; a document
-    with several labels is positive if one is, null labels do not count.
+    with several labels is positive if one is, null labels do not count. Labels
+    of 0 are not looked at.
     """
-    usable = labels.filter(F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0))
-    judged = usable.groupBy(F.col("doc_id").alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    judged = scratch.materialize(judged, "judged")
-    share, positive = judged.agg(F.avg("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    prior = DEFAULT_PRIOR if share is None else min(max(share, 0.01), 0.99)
-    rows = measured.filter(F.col("key").isNotNull() & (fold(F.col("key")) != 0))
-    positives = rows.join(judged.filter("y = 1").select("key").hint("merge"), "key", "left_semi")
-    return fit_nnpu(_sample(positives, positive, MAX_POSITIVES), _sample(rows, rows.count(), MAX_UNLABELLED), prior)
+    positive = labels.filter((F.col(label).cast("int") == 1) & (fold(F.col("doc_id")) != 0)).select(F.col("doc_id").alias("key"), F.lit(True).alias("positive")).distinct()
+    rows = measured.filter(F.col("key").isNotNull() & (fold(F.col("key")) != 0)).join(positive.hint("merge"), "key", "left")
+    rows = scratch.materialize(rows.select("x", F.coalesce("positive", F.lit(False)).alias("positive")), "training")
+    model = fit_rows(rows)
+    scratch.drop(rows)
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """One row per row of ``docs``: key, held_out, score, predicted.
 
     Null and empty texts have all features zero and a score like others. A null
-    key is scored and belongs to the fold of the empty string. Without labels
-    the model knows nothing and gives the prior. Other columns are not read.
+    key is scored and belongs to the fold of the empty string. Without positive
+    labels the model knows nothing and gives the prior. Repeated rows are scored,
+    and count in the fit, each for itself. An empty table gives no rows; other
+    columns are not read.
     """
     scratch.small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
@@ -184,8 +286,3 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     model = train(measured, labels, label)
     scored = measured.select("key", (fold(F.col("key")) == 0).alias("held_out"), model.score(F.col("x")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int")).withColumnRenamed("key", key)
-
-
-def fit_frame(positives: pd.DataFrame, unlabelled: pd.DataFrame, prior: float) -> Model:
-    """The same fit from frames of features, for use without Spark."""
-    return fit_nnpu(positives.to_numpy(float), unlabelled.to_numpy(float), prior)
