@@ -27,52 +27,77 @@ def test_publish_and_verify(spark, tmp_path):
     out = tmp_path / "out"
     facts = P.run(spark, str(out))
     assert facts["status"] == "PASS" and facts["states"] == {"COMPLETE": 102, "OPEN": 2, "REVIEW": 3, "EMPTY": 1} and facts["metadata"]["excluded_future_deliveries"] == 1
-    assert {p.name for p in out.iterdir()} >= {*P.ARTIFACTS, "receipt.json", "summary.md", "index.html", "gates.json", "policy.json"}
+    made = T.current(out)
+    assert {p.name for p in made.iterdir()} == {*P.INVENTORY, "receipt.json"}
+    frozen = json.loads((made / "frozen_baseline.json").read_text())
+    assert frozen["training"]["cases"] == 60 and {k: v["count"] for k, v in frozen["profiles"].items()} == {"FLOW_A": 30, "FLOW_B": 30}
+    assert spark.read.parquet(str(made / "duration_scores")).select("baseline_hash").distinct().first()[0] == T.digest_of(frozen)
     assert P.verify(spark, str(out))["status"] == "PASS"
-    spoilt = tmp_path / "spoilt"
-    shutil.copytree(out, spoilt)
-    (spoilt / "summary.md").write_text("x")
-    with pytest.raises(ReplayError, match="artifacts"):
-        P.verify(spark, str(spoilt))
-    shutil.rmtree(spoilt)
-    shutil.copytree(out, spoilt)
-    table = spark.read.parquet(str(out / "review_queue"))
-    shutil.rmtree(spoilt / "review_queue")
-    table.limit(17).write.parquet(str(spoilt / "review_queue"))
-    T.seal(spoilt, {"status": "PASS"})  # a false seal: only deriving anew can tell
-    with pytest.raises(ReplayError, match="review_queue"):
-        P.verify(spark, str(spoilt))
+
+    def refused(match, change, seal=True):
+        """A false seal over a change: only deriving anew can tell."""
+        shutil.rmtree(tmp_path / "spoilt", ignore_errors=True)
+        folder = T.current(shutil.copytree(out, tmp_path / "spoilt"))
+        change(folder)
+        if seal:
+            T.seal(folder, P.INVENTORY, {"status": "PASS"})
+        with pytest.raises(ReplayError, match=match):
+            P.verify(spark, str(tmp_path / "spoilt"))
+
+    def edited(name, **changes):
+        return lambda folder: T.write_json(folder / name, json.loads((folder / name).read_text()) | changes)
+
+    def short(folder):
+        table = spark.read.parquet(str(made / "review_queue"))
+        shutil.rmtree(folder / "review_queue")
+        table.limit(17).write.parquet(str(folder / "review_queue"))
+
+    refused("artifacts", lambda folder: (folder / "summary.md").write_text("x"), seal=False)
+    refused("inventory", lambda folder: (folder / "summary.md").unlink(), seal=False)
+    refused("inventory", lambda folder: (folder / "more.txt").write_text("x"), seal=False)
+    refused("software", edited("receipt.json", software={}), seal=False)
+    refused("claims", edited("receipt.json", claims={}), seal=False)
+    refused("review_queue", short)
+    refused("frozen_baseline", edited("frozen_baseline.json", duration_score_threshold=9.0))
+    refused("source_manifest", edited("source_manifest.json", policy="0" * 64))
 
 
 def test_publication_guards(tmp_path):
-    ok = lambda folder: (folder.mkdir(), T.seal(folder, {}))
-    target = tmp_path / "a"
-    T.publish(target, ok)
-    assert T.check_receipt(target)
-    before = (target / "receipt.json").read_text()
+    ok = lambda folder: (folder.mkdir(), (folder / "a.txt").write_text("a"), T.seal(folder, ["a.txt"], {}))
+    home = tmp_path / "a"
+    first = T.publish(home, ok)
+    assert T.current(home) == first and T.check_receipt(first, ["a.txt"])
+    with pytest.raises(ReplayError, match="inventory"):
+        T.check_receipt(first, ["a.txt", "b.txt"])
 
     def broken(folder):
         folder.mkdir()
         raise ValueError("no")
 
     with pytest.raises(ValueError):
-        T.publish(target, broken)
-    assert (target / "receipt.json").read_text() == before and not [p for p in tmp_path.iterdir() if p.name.startswith(".a.") and p.is_dir()]
+        T.publish(home, broken)
+    assert T.current(home) == first and sorted(p.name for p in home.iterdir()) == [T.POINTER, first.name]
     (tmp_path / "foreign").mkdir()
-    (tmp_path / "link").symlink_to(target)
-    for bad in (tmp_path / "foreign", tmp_path / "link", Path("/"), Path.cwd()):
+    (tmp_path / "foreign" / "x").write_text("x")
+    (tmp_path / "link").symlink_to(home)
+    for bad in (tmp_path / "foreign", tmp_path / "link", tmp_path / "foreign" / "x", Path("/"), Path.cwd()):
         with pytest.raises(RuntimeError):
             T.publish(bad, ok)
+    with pytest.raises(ReplayError):
+        T.current(tmp_path / "foreign")
 
     def nested(folder):
         ok(folder)
         with pytest.raises(RuntimeError, match="holds"):
-            T.publish(target, ok)
+            T.publish(home, ok)
 
-    T.publish(target, nested)
-    (target / "receipt.json").write_text(json.dumps({"claims": {}}))
+    second = T.publish(home, nested)
+    assert T.current(home) == second and first.is_dir()  # who still reads the first may go on
+    third = T.publish(home, ok)
+    assert T.current(home) == third and not first.exists() and second.is_dir()
+    (third / "receipt.json").write_text("{")
     with pytest.raises(ReplayError):
-        T.check_receipt(target)
+        T.check_receipt(third, ["a.txt"])
 
 
 def test_strict_csv(spark, tmp_path):
@@ -81,6 +106,13 @@ def test_strict_csv(spark, tmp_path):
     for header, rows in ((["a"], [["1"]]), (["a", "a", "b"], [["1", "2", "3"]]), (["a", "c"], [["1", "2"]]), (["a", "b"], [["1"]]), (["a", "b"], [["1", "2", "3"]])):
         with pytest.raises(ReplayError):
             T.read_csv(spark, csv(tmp_path / "b.csv", header, rows), ["a", "b"])
+    lines = T.read_csv(spark, good, ["a", "b"], multiline=False)
+    assert lines.count() == 2
+    (tmp_path / "folder").mkdir()
+    csv(tmp_path / "folder" / "1.csv", ["a", "b"], [["1", "2"]])
+    csv(tmp_path / "folder" / "2.csv", ["b", "a"], [["1", "2"]])
+    with pytest.raises(Exception, match="header|CSV"):
+        T.read_csv(spark, str(tmp_path / "folder"), ["a", "b"]).collect()
     with pytest.raises(ReplayError):
         T.keyed(spark.createDataFrame([("a",), ("a",)], "case_id string"))
     with pytest.raises(ReplayError):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tideclock.functions import scalars as S
 from tideclock.operators.checkpoint import enforce
+from tideclock.operators.ranges import quantile_bounds, range_of
 from tideclock.plans.policy import GROUPS, STAGES
 
 CATALOG = ("case_id", "service_group", "registered_at", "synthetic_record")
@@ -55,9 +56,8 @@ def conflicts(log: DataFrame, identity: list[str], payload: list[str], rule: str
 
 def sequence_inversions(log: DataFrame, ranges: int = 4096) -> DataFrame:
     """Neighbours in delivery order whose recording times fall; whole ranges are compared by their extremes."""
-    low, high = log.agg(F.min("delivery_seq"), F.max("delivery_seq")).first()
-    width = 1 if low is None else (high - low) // ranges + 1
-    cut = log.withColumn("range", F.floor((F.col("delivery_seq") - F.lit(low or 0)) / F.lit(width)))
+    bounds = quantile_bounds(log, "delivery_seq", ranges)
+    cut = log.withColumn("range", range_of(F.col("delivery_seq"), bounds, dict(log.dtypes)["delivery_seq"]))
     inner = W.partitionBy("range").orderBy("delivery_seq", "recorded_epoch")
     inside = cut.select((F.lag("recorded_epoch").over(inner) > F.col("recorded_epoch")).alias("bad"))
     ends = cut.groupBy("range").agg(F.min_by("recorded_epoch", F.struct("delivery_seq", "recorded_epoch")).alias("first"), F.max_by("recorded_epoch", F.struct("delivery_seq", "recorded_epoch")).alias("last"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from tideclock.operators.ranges import quantile_bounds, range_of
+
 #: Ranges into which the sequence is cut for the running watermark; their table is broadcast.
 RANGES = 4096
 
@@ -46,13 +48,13 @@ def classify(log: DataFrame, as_of: int) -> DataFrame:
 def with_watermark(actions: DataFrame, lateness: int) -> DataFrame:
     """Adds ingest_index, watermark_before, watermark_after and late_update.
 
-    The sequence is cut into RANGES ranges. Counts and maxima of whole ranges
-    are carried over a table of that fixed size; inside a range a window of its
-    own runs. No task ever orders the whole log.
+    The sequence is cut into RANGES ranges of about equally many rows. Counts
+    and maxima of whole ranges are carried over a table of that fixed size;
+    inside a range a window of its own runs. No task ever orders the whole log.
+    ``actions`` is read several times and should be written down before.
     """
-    low, high = actions.agg(F.min("delivery_seq"), F.max("delivery_seq")).first()
-    width = 1 if low is None else (high - low) // RANGES + 1
-    cut = actions.withColumn("range", F.floor((F.col("delivery_seq") - F.lit(low or 0)) / F.lit(width)).cast("int"))
+    bounds = quantile_bounds(actions, "delivery_seq", RANGES)
+    cut = actions.withColumn("range", range_of(F.col("delivery_seq"), bounds, dict(actions.dtypes)["delivery_seq"]))
     moves: Column = F.when((F.col("action") == "accepted") & (F.col("operation") == "UPSERT"), F.col("event_epoch"))
     whole = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     carried = cut.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.max(moves).alias("top"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideclock.functions.scalars import alert_id
 from tideclock.operators.clocks import ISSUES
+from tideclock.operators.medians import exact_medians
 from tideclock.plans.policy import Policy, ReplayError
 
 #: Fixed value: scales a median absolute deviation to a normal deviation.
@@ -19,10 +20,12 @@ def baseline_members(clocks: DataFrame) -> DataFrame:
 
 def profiles(members: DataFrame, floor: float) -> DataFrame:
     """(service_group, count, log_median, log_mad, scale); exact medians."""
-    centres = members.groupBy("service_group").agg(F.count(F.lit(1)).alias("count"), F.median("value").alias("log_median"))
+    centres = exact_medians(members, "service_group", "value").withColumnRenamed("median", "log_median")
     apart = members.join(F.broadcast(centres), "service_group")  # a row for each declared group
-    spread = apart.groupBy("service_group").agg(F.first("count").alias("count"), F.first("log_median").alias("log_median"), F.median(F.abs(F.col("value") - F.col("log_median"))).alias("log_mad"))
-    return spread.withColumn("scale", F.greatest(F.lit(MAD_TO_SIGMA) * F.col("log_mad"), F.lit(float(floor))))
+    apart = apart.select("service_group", F.abs(F.col("value") - F.col("log_median")).alias("apart"))
+    spread = exact_medians(apart, "service_group", "apart").select("service_group", F.col("median").alias("log_mad"))
+    found = centres.join(F.broadcast(spread), "service_group")
+    return found.withColumn("scale", F.greatest(F.lit(MAD_TO_SIGMA) * F.col("log_mad"), F.lit(float(floor))))
 
 
 def require_support(found: DataFrame, policy: Policy) -> DataFrame:
@@ -34,11 +37,12 @@ def require_support(found: DataFrame, policy: Policy) -> DataFrame:
     return found
 
 
-def duration_scores(clocks: DataFrame, members: DataFrame, found: DataFrame, policy: Policy) -> DataFrame:
-    """Scores of complete cases outside the baseline; a case whose group has no profile has a null score."""
+def duration_scores(clocks: DataFrame, members: DataFrame, found: DataFrame, policy: Policy, baseline_hash: str | None = None) -> DataFrame:
+    """Scores of complete cases outside the baseline, with all that they were judged by; a case whose group has no profile is an error."""
     fresh = clocks.filter("state = 'COMPLETE'").join(members.select("case_id"), "case_id", "left_anti")
     joined = fresh.join(F.broadcast(found.select("service_group", "log_median", "scale")), "service_group", "left")
     log_duration = F.log1p("notification_to_decision_hours")
+    no_profile = F.raise_error(F.concat(F.lit("no profile for the service group "), F.coalesce("service_group", F.lit("null")))).cast("double")
     scored = joined.select(
         "case_id",
         "service_group",
@@ -46,14 +50,19 @@ def duration_scores(clocks: DataFrame, members: DataFrame, found: DataFrame, pol
         log_duration.alias("log_duration"),
         F.col("log_median").alias("baseline_median"),
         F.col("scale").alias("baseline_scale"),
-        ((log_duration - F.col("log_median")) / F.col("scale")).alias("upper_tail_score"),
+        F.when(F.col("scale").isNull(), no_profile).otherwise((log_duration - F.col("log_median")) / F.col("scale")).alias("upper_tail_score"),
+        F.lit(float(policy.duration_score_threshold)).alias("score_threshold"),
+        F.lit(float(policy.absolute_duration_hours)).alias("absolute_floor_hours"),
+        F.lit(policy.baseline_cutoff).alias("baseline_cutoff"),
+        F.lit(baseline_hash).cast("string").alias("baseline_hash"),
+        F.lit("true").alias("synthetic_record"),
     )
-    high = (F.col("upper_tail_score") > float(policy.duration_score_threshold)) & (F.col("duration_hours") > float(policy.absolute_duration_hours))
-    return scored.withColumn("flagged", F.coalesce(high, F.lit(False)).cast("int"))
+    high = (F.col("upper_tail_score") > F.col("score_threshold")) & (F.col("duration_hours") > F.col("absolute_floor_hours"))
+    return scored.withColumn("flagged", high.cast("int"))
 
 
 def _alert(condition: Column, priority: str, category: str, reason: str, evidence: Column) -> Column:
-    return F.when(condition, F.struct(F.lit(priority).alias("priority"), F.lit(category).alias("category"), F.lit(reason).alias("reason"), F.to_json(evidence).alias("evidence_json")))
+    return F.when(condition, F.struct(F.lit(priority).alias("priority"), F.lit(category).alias("category"), F.lit(reason).alias("reason"), F.to_json(evidence, {"ignoreNullFields": "false"}).alias("evidence_json")))
 
 
 def review_queue(clocks: DataFrame, audit: DataFrame, scores: DataFrame, policy: Policy) -> DataFrame:

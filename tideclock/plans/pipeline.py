@@ -19,12 +19,22 @@ from tideclock.sources import tables as T
 #: Artifact -> sort order.
 ARTIFACTS = {"ingest_audit": ["ingest_index"], "effective_events": ["event_id"], "case_clocks": ["case_id"], "stage_durations": ["case_id", "from_stage"], "duration_scores": ["case_id"], "review_queue": ["priority", "case_id", "reason"]}
 
+#: Everything that a publication holds beside its receipt.
+INVENTORY = (*ARTIFACTS, "input_cases", "input_events", "baseline_members", "frozen_baseline.json", "source_manifest.json", "policy.json", "gates.json", "summary.json", "summary.md", "index.html")
+
 
 def artifacts(results: Results) -> dict[str, DataFrame]:
     snap = results.snapshot
     return {"ingest_audit": snap.audit, "effective_events": snap.effective, "case_clocks": snap.clocks, "stage_durations": snap.durations, "duration_scores": results.scores, "review_queue": results.queue}
 
 
+def manifest(log: DataFrame, policy: Policy, results: Results) -> dict:
+    """Digests of what a run was made from: all deliveries, those of each snapshot, policy and baseline."""
+    prints = {"source": log, "observed_source": R.arrived(log, policy.observed), "baseline_source": R.arrived(log, policy.cutoff)}
+    made = {name: T.fingerprint(table).first().asDict() for name, table in prints.items()}
+    return {"protocol": policy.protocol, **made, "policy": T.digest_of(json.loads(policy.to_json())), "baseline": T.digest_of(results.document)}
+
+
 def summary(results: Results, log: DataFrame, gate_rows: list[dict]) -> dict:
     """The facts of a run, from small aggregates."""
     snap = results.snapshot
@@ -68,6 +78,9 @@ def run(spark: SparkSession, output: str, policy: Policy | None = None, catalog:
         results = evaluate(*typed, policy)
         for name, table in artifacts(results).items():
             table.orderBy(*ARTIFACTS[name]).write.parquet(str(folder / name))
+        results.members.orderBy("case_id").write.parquet(str(folder / "baseline_members"))
+        T.write_json(folder / "frozen_baseline.json", results.document)
+        T.write_json(folder / "source_manifest.json", manifest(typed[1], policy, results))
         gate_rows = [r.asDict() for r in G.gates(*typed, results, policy).orderBy("check_name").collect()]
         facts.update(summary(results, typed[1], gate_rows))
         if facts["status"] != "PASS":
@@ -77,7 +90,7 @@ def run(spark: SparkSession, output: str, policy: Policy | None = None, catalog:
         T.write_json(folder / "summary.json", facts)
         (folder / "summary.md").write_text(markdown(facts))
         (folder / "index.html").write_text(page(facts))
-        T.seal(folder, {"status": facts["status"]})
+        T.seal(folder, INVENTORY, {"status": facts["status"]})
 
     T.publish(output, build)
     verify(spark, output)
@@ -85,16 +98,22 @@ def run(spark: SparkSession, output: str, policy: Policy | None = None, catalog:
 
 
 def verify(spark: SparkSession, output: str) -> dict:
-    """Check the seal, then derive every artifact again from the saved inputs and compare rows both ways."""
+    """Check the seal of the current version, then derive everything anew from the saved inputs and compare, rows both ways."""
     utc(spark)
-    folder = Path(output)
-    receipt = T.check_receipt(folder)
-    made = json.loads((folder / "policy.json").read_text())
-    policy = parse_policy(made)
+    folder = T.current(output)
+    receipt = T.check_receipt(folder, INVENTORY)
+    saved = {name: json.loads((folder / name).read_text()) for name in ("policy.json", "frozen_baseline.json", "source_manifest.json", "gates.json")}
+    policy = parse_policy(saved["policy.json"])
     typed = contracts.validate(spark.read.parquet(str(folder / "input_cases")), spark.read.parquet(str(folder / "input_events")), policy.service_groups)
-    for name, table in artifacts(evaluate(*typed, policy)).items():
+    results = evaluate(*typed, policy)
+    for name, table in {**artifacts(results), "baseline_members": results.members}.items():
         if not T.same_rows(table, spark.read.parquet(str(folder / name)).select(*table.columns)):
             raise ReplayError(f"{name} is not what its inputs give")
+    for name, made in (("frozen_baseline.json", results.document), ("source_manifest.json", manifest(typed[1], policy, results))):
+        if saved[name] != json.loads(T.canonical(made)):
+            raise ReplayError(f"{name} is not what its inputs give")
+    if len(saved["gates.json"]) != 26 or any(g["failures"] for g in saved["gates.json"]):
+        raise ReplayError("gates.json does not tell of 26 passed gates")
     return receipt
 
 
