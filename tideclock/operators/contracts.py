@@ -93,8 +93,8 @@ def check_catalog(raw: DataFrame, groups: tuple[str, ...] = GROUPS) -> DataFrame
     return counted.unionByName(repeated.select(F.lit("repeated_case_id").alias("rule"), "violations"))
 
 
-def check_log(raw: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(rule, violations) of string deliveries against a typed catalog."""
+def check_rows(raw: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(rule, violations) of the rules that string deliveries keep each for itself, against a typed catalog."""
     known = catalog.select(F.col("case_id").alias("known_case"), "registered_epoch")
     rows = raw.join(known, raw["case_id"] == F.col("known_case"), "left")
     event, recorded = S.instant_epoch(F.col("event_time")), S.instant_epoch(F.col("recorded_at"))
@@ -114,8 +114,12 @@ def check_log(raw: DataFrame, catalog: DataFrame) -> DataFrame:
         "event_after_recording": F.coalesce(event > recorded, F.lit(False)),
         "delivery_marker": ~F.coalesce(F.col("synthetic_record") == "true", F.lit(False)),
     }
-    counted = _rows(rows.agg(*(_sum(v, k) for k, v in rules.items()), (F.count(F.lit(1)) == 0).cast("long").alias("empty_log")))
-    return counted.unionByName(group_checks(typed_log(raw)))
+    return _rows(rows.agg(*(_sum(v, k) for k, v in rules.items()), (F.count(F.lit(1)) == 0).cast("long").alias("empty_log")))
+
+
+def check_log(raw: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(rule, violations) of string deliveries against a typed catalog, by row and by identity."""
+    return check_rows(raw, catalog).unionByName(group_checks(typed_log(raw)))
 
 
 def validate(raw_catalog: DataFrame, raw_log: DataFrame, groups: tuple[str, ...] = GROUPS) -> tuple[DataFrame, DataFrame]:

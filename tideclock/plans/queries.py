@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideclock.functions import scalars
 from tideclock.operators import checkpoint as K, clocks as C, contracts, replay as R, scores as S
 from tideclock.plans import derived as D, gates as G, scenarios, views
-from tideclock.plans.snapshot import Results, baseline, evaluate, parameters
+from tideclock.plans.snapshot import Results, baseline, classified, evaluate, parameters
 from tideclock.sources import tables
 
 P = D.POLICY
@@ -43,12 +45,12 @@ def action_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watermark_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    audit = R.with_watermark(_actions(spark, sf_dir), P.lateness)
+    audit = R.with_watermark(classified(D.log(spark, sf_dir), D.OBSERVED), P.lateness)
     return audit.select("ingest_index", "delivery_id", "action", "probe_epoch", "watermark_before", "watermark_after", "late_update", "case_revision")
 
 
 def snapshot_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.snapshot_metadata(R.with_watermark(_actions(spark, sf_dir), P.lateness), D.log(spark, sf_dir))
+    return R.snapshot_metadata(R.with_watermark(classified(D.log(spark, sf_dir), D.OBSERVED), P.lateness), D.log(spark, sf_dir))
 
 
 def effective_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +94,30 @@ def robust_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duration_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_results(spark, sf_dir).scores, "duration_hours", "log_duration", "baseline_median", "baseline_scale", "upper_tail_score")
+    return _round(_results(spark, sf_dir).scores.drop("baseline_hash"), "duration_hours", "log_duration", "baseline_median", "baseline_scale", "upper_tail_score")
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).queue.select("alert_id", "case_id", "service_group", "priority", "category", "reason", "status", "establishes_legal_breach", "establishes_wrongdoing")
 
 
+def queue_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence of every candidate as its JSON text; where that holds a measured number, the number instead."""
+    queue = _results(spark, sf_dir).queue
+    measured = F.coalesce(*(F.get_json_object("evidence_json", f"$.{k}").cast("double") for k in ("age_hours", "upper_tail_score")))
+    return queue.select("case_id", "reason", F.when(measured.isNull(), F.col("evidence_json")).alias("evidence"), F.round(measured, 6).alias("measured"))
+
+
+def baseline_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frozen baseline document, a row for each profile, and whether all scores bear its digest."""
+    results = _results(spark, sf_dir)
+    made = results.document
+    rows = [(g, p["count"], p["log_median"], p["log_mad"], p["scale"], made["training"]["cases"], float(made["mad_scale_floor"]), float(made["duration_score_threshold"]), made["baseline_cutoff"]) for g, p in made["profiles"].items()]
+    kinds = "service_group string, count bigint, log_median double, log_mad double, scale double, training_cases bigint, mad_scale_floor double, duration_score_threshold double, baseline_cutoff string"
+    borne = results.scores.agg(F.coalesce(F.bool_and(F.col("baseline_hash") == tables.digest_of(made)), F.lit(False)).alias("scores_bear_its_hash"))
+    return _round(spark.createDataFrame(rows, kinds), "log_median", "log_mad", "scale").crossJoin(F.broadcast(borne))  # one row
+
+
 def queue_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).queue.groupBy("priority", "category", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(scalars.is_json(F.col("evidence_json"))).alias("valid_json"))
 
@@ -116,6 +135,41 @@ def contract_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.group_checks(dirty)
 
 
+def log_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row rules over the log as string deliveries, with a fault of each kind planted on some."""
+    k = F.pmod("delivery_seq", F.lit(1000))
+    either = lambda column, faults: reduce(lambda made, fault: F.when(k == fault[0], F.lit(fault[1])).otherwise(made), faults.items(), column)
+    instant = lambda epoch: F.coalesce(scalars.instant_text(F.col(epoch)), F.lit(""))
+    raw = D.log(spark, sf_dir).select(
+        either(F.concat(F.lit("D"), "delivery_id"), {2: " d"}).alias("delivery_id"),
+        either(F.col("delivery_seq").cast("string"), {4: "x1", 14: "0"}).alias("delivery_seq"),
+        either(F.concat(F.lit("E"), "event_id"), {3: ""}).alias("event_id"),
+        either(F.col("revision").cast("string"), {5: "0"}).alias("revision"),
+        either(F.concat(F.lit("C"), "case_id"), {1: "C-none"}).alias("case_id"),
+        either(F.col("event_type"), {7: "OTHER"}).alias("event_type"),
+        either(F.col("operation"), {6: "DELETE", 8: "RETRACT", 9: "UPSERT"}).alias("operation"),
+        either(instant("event_epoch"), {8: "2024-01-01T00:00:00Z", 9: "never", 12: "2030-01-01T01:00:00+01:00"}).alias("event_time"),
+        either(instant("recorded_epoch"), {10: "2024-01-02 00:00:00", 11: "2000-01-01T00:00:00Z"}).alias("recorded_at"),
+        either(F.lit("true"), {13: "false"}).alias("synthetic_record"),
+    )
+    catalog = D.catalog(spark, sf_dir).withColumn("case_id", F.concat(F.lit("C"), "case_id"))
+    return contracts.check_rows(raw, catalog)
+
+
+def catalog_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of the catalog, with a fault of each kind planted and some cases repeated."""
+    k = F.pmod("case_id", F.lit(100))
+    catalog = D.catalog(spark, sf_dir)
+    twice = catalog.unionByName(catalog.filter(k == 5))
+    raw = twice.select(
+        F.concat(F.when(k == 1, "C ").otherwise("C"), "case_id").alias("case_id"),
+        F.when(k == 2, "FLOW_X").otherwise(F.col("service_group")).alias("service_group"),
+        F.when(k == 3, "yesterday").otherwise(scalars.instant_text(F.col("registered_epoch"))).alias("registered_at"),
+        F.when(k == 4, "no").otherwise("true").alias("synthetic_record"),
+    )
+    return contracts.check_catalog(raw)
+
+
 def param_cross_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = D.log(spark, sf_dir).filter(F.col("recorded_epoch") <= D.OBSERVED)
     both = log.crossJoin(F.broadcast(parameters(P, spark))).filter("recorded_epoch <= as_of")  # two rows
@@ -169,10 +223,38 @@ def gate_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gates(catalog.withColumn("synthetic_record", marker), log.withColumn("synthetic_record", marker), results, P)
 
 
+def gate_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates over tables with planted faults: what each must count follows from the tables."""
+    marker = F.lit("true")
+    catalog, log = D.catalog(spark, sf_dir).withColumn("synthetic_record", marker), D.log(spark, sf_dir).withColumn("synthetic_record", marker)
+    results = evaluate(catalog, log, P)
+    judged = {name: tables.materialize(t, name) for name, t in G.judged_tables(results).items()}
+    made = G.expected_tables(catalog, log, judged["audit"], P) | judged
+    every = lambda column, n, rest: F.pmod(column, F.lit(n)) == rest
+    change = lambda name, where, column, value: made[name].withColumn(column, F.when(where, value).otherwise(F.col(column)))
+    faults = {
+        "E01": {"catalog": made["catalog"].unionByName(made["catalog"].filter(every("case_id", 50, 1)))},
+        "E02": {"log": change("log", every("delivery_seq", 50, 3), "synthetic_record", F.lit("x"))},
+        "E04": {"log": change("log", every("delivery_seq", 50, 4), "event_type", F.lit("OTHER"))},
+        "E07": {"audit": change("audit", every("delivery_seq", 50, 5), "action", F.lit("unheard of"))},
+        "E11": {"effective": change("effective", every("event_id", 40, 10), "revision", F.col("revision") + 1)},
+        "E13": {"clocks": change("clocks", every("case_id", 30, 1), "state", F.lit("LOST"))},
+        "E15": {"clocks": change("clocks", every("case_id", 7, 1), "issue_to_decision_hours", F.col("issue_to_decision_hours") + 1)},
+        "E17": {"durations": made["durations"].filter(~every("case_id", 7, 2))},
+        "E20": {"members": made["members"].filter(~every("case_id", 3, 1))},
+        "E22": {"scores": made["scores"].filter(~every("case_id", 5, 1))},
+        "E24": {"queue": change("queue", every("case_id", 6, 1), "status", F.lit("settled"))},
+        "E25": {"queue": made["queue"].filter("reason <> 'aged_open_case'")},
+        "E26": {"queue": change("queue", every("case_id", 6, 2) & (F.col("reason") != "aged_open_case"), "evidence_json", F.lit("{"))},
+    }
+    names = {n[:3]: n for n in G.gate_queries(P)}
+    return reduce(DataFrame.unionByName, [G.compare(made | fault, P, [names[gate]]) for gate, fault in faults.items()])
+
+
 def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log's digest, of the log as it lies and dealt anew."""
     log = R.arrived(D.log(spark, sf_dir), D.OBSERVED)
-    return tables.fingerprint(log).withColumn("order", F.lit("as stored")).unionByName(tables.fingerprint(log.repartition(7, "input_index")).withColumn("order", F.lit("dealt")))
+    return tables.fingerprint(log).withColumn("order_of_rows", F.lit("as stored")).unionByName(tables.fingerprint(log.repartition(7, "input_index")).withColumn("order_of_rows", F.lit("dealt")))
 
 
 def scenario_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +263,7 @@ def scenario_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     catalog, log = scenarios.synthetic_tables(spark)
     typed = contracts.typed_catalog(catalog), contracts.typed_log(log)
-    return evaluate(*typed, Policy()).queue.select("alert_id", "case_id", "priority", "category", "reason", "evidence_json")
+    return evaluate(*typed, Policy()).queue.select("alert_id", "case_id", "priority", "category", "reason")
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +301,7 @@ QUERIES = {
     for f in (
         asof_delivery_filter, ingest_actions, action_histogram, watermark_audit, snapshot_metadata, effective_versions, live_events,
         stage_counts, case_states, case_clocks, issue_flags, stage_durations, clock_partition_check, robust_profiles, duration_scores,
-        review_queue, queue_by_reason, contract_conflicts, param_cross_join, checkpoint_summary, checkpoint_quality, process_clock_mart,
-        clock_audit, mart_scan, orphan_lines, key_reconciliation, checkpoint_contract, instants, gate_suite, source_fingerprint, scenario_queue, csv_roundtrip, stream_replay,
+        review_queue, queue_by_reason, queue_evidence, baseline_document, contract_conflicts, log_contract, catalog_contract, param_cross_join, checkpoint_summary, checkpoint_quality, process_clock_mart,
+        clock_audit, mart_scan, orphan_lines, key_reconciliation, checkpoint_contract, instants, gate_suite, gate_faults, source_fingerprint, scenario_queue, csv_roundtrip, stream_replay,
     )
 }
