@@ -100,3 +100,35 @@ def test_empty_corpus(spark, data):
     for _, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, data)
     assert P.STAGES[-1][1](spark, docs, data).count() == 0
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns named like helpers."""
+    prose = " ".join(f"word{i} and more{i * 7}" for i in range(60))
+    rows = [(1, prose, "en", "a", len(prose)), (1, prose, "en", "a", len(prose)), (2, None, "en", "a", None), (3, "", "en", None, 0), (None, prose + " x", None, None, None), (None, None, None, None, None), (4, " ".join(f"w{i}" for i in range(150_000)), "fr", "b", 9), (5, "\n".join([prose, prose]), "en", "b", 1)]
+    names = ("row", "m", "host", "failed", "gone_key", "gone_lines", "GONE_TH", "key", "shard", "part")
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    return spark.createDataFrame([(*r, *names) for r in rows], kinds).repartition(3)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_awkward_rows(spark, data, awkward, name):
+    made = dict(P.STAGES)[name](spark, awkward, data)
+    got = made.collect()
+    if name == "best-fit packing":
+        assert sum(r["length"] for r in got if r["doc_id"] is None) == 1 + len(next(tokens.documents(pa.array(["".join(r["text"] for r in awkward.collect() if r["doc_id"] is None and r["text"])]), tokens.default_tokenizer())))
+        assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 5, None}
+        return
+    assert made.columns == awkward.columns and made.dtypes == awkward.dtypes
+    ids = sorted(str(r["doc_id"]) for r in got)
+    assert all(r["row"] == "row" and r["GONE_TH"] == "GONE_TH" for r in got)
+    if name == "quality rules":  # texts without words go; 5 has all its words twice
+        assert ids == ["1", "1", "4", "None"]
+    if name == "line dedup":
+        texts = {(r["doc_id"], r["text"]) for r in got}
+        assert len(ids) == 8 and (2, None) in texts and (None, None) in texts and (5, "") in texts
+    if name == "MinHash near-dedup":  # the row without a key is linked with nothing
+        assert ids == ["1", "1", "2", "3", "4", "None", "None"]
+    if name == "benchmark decontamination":
+        assert len(ids) == 8

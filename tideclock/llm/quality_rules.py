@@ -160,7 +160,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 def keep_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that their own rules and their host's verdict let pass, with their columns.
 
-    The measured corpus is written once, so that no text is measured twice or shuffled.
+    Null and empty texts have no words and go. A null host is a host of its own;
+    null keys do not matter. Repeated rows count and are judged each for itself.
+    Columns of any name are carried; an empty table stays empty. The measured corpus is written once, so that no text is measured twice or shuffled.
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
