@@ -137,6 +137,26 @@ def test_columns_named_like_helpers(spark):
     assert got.columns == frame.columns and sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 3]
 
 
+@pytest.mark.parametrize("hot", [0, 5, 10**9])
+def test_hot_buckets_and_stars(spark, monkeypatch, hot):
+    """The same result whether many keys are met by broadcast, few or none."""
+    monkeypatch.setattr(minhash, "HOT", hot)
+    docs = corpus(7, 4, 25) + [(10_000 + i, "a copy that many rows of the table hold " * 3) for i in range(60)]
+    assert ours(spark, docs, 3, 85) == brute(docs, 3, 85)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(39, 130)]
+    got = minhash.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((x, 0) for x in {x for e in edges for x in e})
+
+
+def test_rows_of_one_key(spark):
+    """Rows of one key hold their texts together, be some of them empty, and repeated rows give a row each."""
+    x, y, z = ("%s one two three four five six" % w for w in "xyz")
+    rows = [(1, x), (2, x), (2, y), (2, None), (3, y), (3, y), (4, z), (4, ""), (5, ""), (5, None), (None, x), (None, None), (7, z), (7, y)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    want = [(k, 5 if t else 0, {5: 5, None: None}.get(k, 1), k in (None, 1, 5)) for k, t in rows]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_shared_counts():
     rng = np.random.default_rng(4)
     sets = [np.unique(np.concatenate([rng.integers(0, 50, 30), rng.integers(0, 5000, n)]).astype(np.uint64)) for n in (0, 9, 700, 3000, 20) * 9]

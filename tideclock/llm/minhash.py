@@ -31,6 +31,8 @@ BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: A shingle is counted by matrix product if it is in at least one of so many pairs of a block, else pair by pair.
 DENSE = 200
 SALTS = 16
+#: A key with more rows than this and than one in HOT_KEYS of all is hot; so there are at most HOT_KEYS hot keys.
+HOT, HOT_KEYS = 1000, 10_000
 _MEMORY = 200_000
 
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -163,6 +165,21 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return scratch.materialize(full.mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links")
 
 
+def spread_join(rows: DataFrame, counted: DataFrame, key: str, total: int, value: str) -> DataFrame:
+    """``rows`` with the row of ``counted`` of the same ``key``; no task gets all rows of a hot key.
+
+    ``counted`` tells for each key, in ``n``, how many of the ``total`` rows
+    have it, and ``value``, never null. Rows of hot keys stay where they are and
+    meet a broadcast of at most HOT_KEYS rows; the others are dealt by key.
+    """
+    floor = max(HOT, total // HOT_KEYS)
+    hot = F.broadcast(counted.filter(F.col("n") > floor).drop("n"))
+    met = rows.join(hot, key, "left")
+    cold = met.filter(F.col(value).isNull()).select(*rows.columns)
+    cold = cold.join(counted.filter(F.col("n") <= floor).drop("n").hint("merge"), key)
+    return met.filter(F.col(value).isNotNull()).select(*cold.columns).unionByName(cold)
+
+
 def _observed(edges: DataFrame) -> tuple[DataFrame, dict]:
     """The edges written down, and their number and sum of hashes, taken on the way."""
     seen = Observation()
@@ -174,21 +191,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of (a, b); a component's name is its least node.
 
     Alternates the large-star and small-star steps, each written to the shared
-    folder, until no edge changes.
+    folder, until no edge changes. A node with very many links, such as the
+    centre of a star, is met by broadcast.
     """
     now, mark = _observed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while mark != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least.hint("merge"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both, least, "u", 2 * mark["n"], "m").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.materialize(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, least, "u", mark["n"], "m")
         # Each neighbour points at the least one, and so does the node itself; one row brings both.
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         before = mark
         after, mark = _observed(small.filter("u <> v").distinct())
-        scratch.drop(now)
+        scratch.drop(now, large)
         now = after
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
@@ -203,8 +222,13 @@ def _labelled(table: DataFrame, labels: DataFrame, key: str, name: str) -> DataF
 def bucket_members(bands: DataFrame) -> DataFrame:
     """(bucket, key, n_shingles, size, pivot) of all buckets with more than one member."""
     ranked = bands.withColumn("rank", F.xxhash64("key"))
-    buckets = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min_by("key", "rank").alias("pivot")).filter("size > 1")
-    return scratch.materialize(bands.join(buckets.hint("merge"), "bucket"), "members")
+    buckets = ranked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", "rank").alias("pivot")).filter("n > 1")
+    seen = Observation()
+    buckets = scratch.materialize(buckets.observe(seen, F.sum("n").alias("total")), "buckets")
+    members = spread_join(bands, buckets.withColumn("size", F.col("n")), "bucket", seen.get["total"] or 0, "pivot")
+    members = scratch.materialize(members, "members")
+    scratch.drop(buckets)
+    return members
 
 
 def _star(members: DataFrame) -> DataFrame:
@@ -350,6 +374,17 @@ def block_links(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
+def _shared_keys(sketched: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(a, b): representatives of sets and the keys that hold them, for keys whose rows differ in their sets; None without such keys."""
+    known = sketched.filter(F.col("key").isNotNull())
+    several = known.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("key")
+    several = scratch.materialize(several, "several")
+    if several.isEmpty():
+        return None
+    held = known.filter("n_shingles > 0").select("key", "digest").join(several.hint("merge"), "key", "left_semi").distinct()
+    return held.join(classes.select("digest", "rep").hint("merge"), "digest").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id, kept.
 
@@ -361,14 +396,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     scratch.small_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sketched = scratch.materialize(sketch(source, width), "sketch")
+    # A row's salt is written down with it, so that rows of one hot key or text are dealt over several tasks.
+    salted = sketch(source, width).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    sketched = scratch.materialize(salted, "sketch")
     usable = sketched.filter(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
-    classes = usable.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
+    classes = usable.groupBy("digest").agg(
+        F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.min("salt").alias("salt")
+    )
     classes = scratch.materialize(classes, "classes")
-    shared = classes.filter("copies > 1").select("digest", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = usable.select("key", "digest", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
-    copies = salted.join(shared.hint("merge"), ["digest", "salt"]).select(F.col("rep").alias("a"), F.col("key").alias("b")).filter("a <> b")
-    copies = scratch.materialize(copies, "copies")
 
     # Only representatives go into buckets: a copy is never compared.
     members = bucket_members(classes.select(F.col("rep").alias("key"), "n_shingles", F.explode("bands").alias("bucket")))
@@ -392,10 +427,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     if not opened.isEmpty():
         edges = edges.unionByName(block_links(opened, sets, percent))
     scratch.drop(opened)
-    scratch.drop(sets, members, candidates, classes)
-    labels = components(copies.unionByName(edges))
-    named = sketched.select("key", "n_shingles").join(labels.withColumnRenamed("node", "key").hint("merge"), "key", "left")
-    named = named.select("key", "n_shingles", F.coalesce("component", "key").alias("component_id"))
+    shared = _shared_keys(sketched, classes)
+    labels = components(edges if shared is None else edges.unionByName(shared))
+    # A class has its representative's component, and so has each of its rows; a class of one row is met by that row's salt alone.
+    salts = F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array("salt"))
+    owned = _labelled(classes.select("digest", "rep", "copies", "salt"), labels, "rep", "component_id").filter("copies > 1 or component_id <> rep")
+    owned = owned.select("digest", F.explode(salts).alias("salt"), "component_id")
+    named = usable.select("key", "n_shingles", "digest", "salt").join(owned.hint("merge"), ["digest", "salt"], "left")
+    named = named.select("key", "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    rest = sketched.filter(F.col("key").isNull() | (F.col("n_shingles") == 0)).select("key", "n_shingles")
+    named = named.unionByName(_labelled(rest, labels, "key", "component_id"))
+    scratch.drop(sets, members, candidates)
     return named.withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))).withColumnRenamed("key", key)
 
 
