@@ -245,9 +245,14 @@ def first_pairs(members: DataFrame) -> DataFrame:
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, bucket, n_shingles, size, pivot, component) of the larger buckets whose members are in several components."""
-    owned = _labelled(members.filter(F.col("size") > SMALL), labels, "key", "component")
-    split = owned.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    return scratch.materialize(owned.join(split.hint("merge"), "bucket", "left_semi"), "open")
+    owned, seen = _labelled(members.filter(F.col("size") > SMALL), labels, "key", "component"), Observation()
+    owned = scratch.materialize(owned.observe(seen, F.count(F.lit(1)).alias("n")), "owned")
+    buckets = owned.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("component") != F.max("component")).alias("split"))
+    buckets = scratch.materialize(buckets, "split")
+    opened = spread_join(owned, buckets, "bucket", seen.get["n"], "split").filter("split").drop("split")
+    opened = scratch.materialize(opened, "open")
+    scratch.drop(owned, buckets)
+    return opened
 
 
 def _units(opened: DataFrame) -> DataFrame:
